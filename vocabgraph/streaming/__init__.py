@@ -1,0 +1 @@
+"""The data model has no event streams; nothing is built here."""
