@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-UNROLL = 2  # rounds of peeling planned into one job
 SMALL_ROWS = 100_000  # a side with at most this many (id, id) rows may be broadcast
 
 
@@ -37,73 +36,64 @@ def clean_links(links: DataFrame, child: str, parent: str) -> DataFrame:
 def peel(links: DataFrame, scratch: Scratch, *, child: str = "child", parent: str = "parent") -> Peeled:
     """Heights by bottom-up leaf peeling: in each round the nodes without remaining children are removed.
 
-    A link survives round h when its child has a child of its own among the links left; a node that is a parent in
-    rounds 0..h-1 only has height h. Links that no longer shrink hang on cycles: their parents keep a null height.
-    Each job plans several rounds and writes only the last round's links and the parents that left in each.
+    A link survives a round when its child has a child of its own among the links left; a node's height is the number of
+    rounds it began as a parent. Links that no longer shrink hang on cycles: their parents keep a null height. Each
+    round is one job over the links left, which shrink fast; its row count comes with the write.
     """
+    spark = scratch.spark
     every = scratch.cut(clean_links(links, child, parent), "links")
     loops = every.where("child = parent").select(F.col("child").alias("node"))
-    edges = every.where("child <> parent")
-    heights: list[DataFrame] = []
-    current, height, stuck, alive = edges, 0, False, None
+    kind = every.schema["child"].dataType.simpleString()
+    place = scratch.path("rounds")
+    left, height, stuck = every.where("child <> parent"), 0, False
+    alive = None
     while True:
-        steps = []
-        for _ in range(UNROLL):
-            parents = current.select(F.col("parent").alias("child")).distinct()
-            steps.append(parents)
-            current = current.join(parents, "child", "left_semi")
-        tagged = current.select("child", "parent", F.lit(None).cast("long").alias("node"), F.lit(-1).alias("height"))
-        # a node's height is the last round in which it was a parent, counted from 1
-        last = None
-        for i, parents in enumerate(steps):
-            one = parents.select(F.col("child").alias("node"), F.lit(height + i + 1).alias("height"))
-            last = one if last is None else last.unionByName(one)
-        last = last.groupBy("node").agg(F.max("height").alias("height"))
-        none = F.lit(None)
-        both = tagged.unionByName(last.select(none.cast(every.schema["child"].dataType).alias("child"), none.cast(every.schema["child"].dataType).alias("parent"), F.col("node"), F.col("height")))
-        written = scratch.cut(both, "round")
-        current = written.where("height = -1").select("child", "parent")
-        heights.append(written.where("height <> -1").select("node", "height"))
-        height += UNROLL
-        remaining = current.count()
+        if height == 0:
+            kept = left
+        else:
+            parents = left.select(F.col("parent").alias("child"))
+            kept = left.join(_bounded(parents, alive) if alive <= SMALL_ROWS else parents.distinct(), "child", "left_semi").select("child", "parent")
+        seen = Observation()
+        kept.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{place}/round={height}")
+        remaining = seen.get["n"]
         if remaining == 0:
             break
         if remaining == alive:
             stuck = True
             break
         alive = remaining
-    top = heights[0]
-    for more in heights[1:]:
-        top = top.unionByName(more)
-    top = top.groupBy("node").agg(F.max("height").alias("height"))
-    if stuck:
-        left = current.select(F.col("parent").alias("node")).distinct()
-        top = top.join(left.withColumn("_cyclic", F.lit(True)), "node", "left").select("node", F.when(F.col("_cyclic").isNull(), F.col("height")).alias("height"))
+        left = spark.read.schema(f"child {kind}, parent {kind}").parquet(f"{place}/round={height}")
+        height += 1
+    rounds = spark.read.schema(f"child {kind}, parent {kind}, round int").parquet(place)
+    top = rounds.groupBy(F.col("parent").alias("node")).agg(F.max("round").alias("last"))
+    top = top.select("node", F.when(F.lit(not stuck) | (F.col("last") < height), F.col("last") + 1).alias("height"))
     top = scratch.cut(top, "heights")
     parents = top.select(F.col("node").alias("parent"), F.col("height").alias("parent_height"))
     children = top.select(F.col("node").alias("child"), F.col("height").alias("child_height"), F.lit(True).alias("_inner"))
     out = (
-        edges.join(parents, "parent")
+        every.where("child <> parent")
+        .join(parents, "parent")
         .join(children, "child", "left")
         .select("child", "parent", F.when(F.col("_inner").isNull(), F.lit(0)).otherwise(F.col("child_height")).alias("child_height"), "parent_height")
     )
-    out = scratch.cut(out, "edges")
+    out = scratch.cut(out, "edges", ["child_height"])
     highest = out.agg(F.max("parent_height")).first()[0] or 0
     return Peeled(out, highest, loops, stuck)
 
 
-def descendants(peeled: Peeled, scratch: Scratch) -> DataFrame:
-    """(node, descendant, distance): every node reached downward with the smallest number of links, by message passing.
+def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every node reached downward, as (ways, selves). ways: (node, descendant, distance), in which the smallest distance of a pair
+    is the smallest number of links; selves: (node) that reach themselves.
 
     A peeled node merges the lists of its children, each one link longer, and sends its own list on to its parents. A message is
     written once into the folder of its receiver's height and read once in that height's round. Nodes that were never
-    peeled then exchange lists until nothing gets shorter; a node that receives itself lies on a cycle (row with
-    node = descendant, distance >= 1).
+    peeled then exchange lists until nothing gets shorter; one that receives itself lies on a cycle.
     """
     spark, edges = scratch.spark, peeled.edges
     stuck_height = peeled.heights + 1
     target = F.coalesce(F.col("parent_height"), F.lit(stuck_height))
-    schema = f"node {edges.schema['child'].dataType.simpleString()}, descendant {edges.schema['child'].dataType.simpleString()}, distance int"
+    kind = edges.schema["child"].dataType.simpleString()
+    schema = f"node {kind}, descendant {kind}, distance int"
     place = scratch.path("messages")
     box = ["node", "descendant", "distance"]
 
@@ -121,25 +111,25 @@ def descendants(peeled: Peeled, scratch: Scratch) -> DataFrame:
         if per_height.get(height):
             up = edges.where(F.col("child_height") == height).select(F.col("child").alias("node"), "parent", target.alias("at"))
             send(inbox(height).join(_bounded(up, per_height[height]), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"), "at"))
-    out = spark.read.schema(schema + ", at int").parquet(place).where(F.col("at") <= peeled.heights).select(*box)
-    out = out.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
+    whole = spark.read.schema(schema + ", at int").parquet(place)
+    ways = whole.where(F.col("at") <= peeled.heights).select(*box)
     if not peeled.stuck:
-        return out
+        return ways, ways.select("node").limit(0)
     between = edges.where("child_height IS NULL AND parent_height IS NULL").select(F.col("child").alias("node"), "parent")
     between = scratch.cut(between, "cyclic-links")
     n_between = between.count()
-    reached = scratch.cut(inbox(stuck_height).select("node", "descendant", "distance"), "reached")
+    reached = scratch.cut(inbox(stuck_height).select(*box), "reached")
     fresh = reached
     while True:
         offers = fresh.join(_bounded(between, n_between), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"))
         offers = offers.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
         known = reached.select("node", "descendant", F.col("distance").alias("_old"))
-        fresh = offers.join(known, ["node", "descendant"], "left").where("_old IS NULL OR distance < _old").select("node", "descendant", "distance")
+        fresh = offers.join(known, ["node", "descendant"], "left").where("_old IS NULL OR distance < _old").select(*box)
         fresh = scratch.cut(fresh, "fresh")
         if fresh.isEmpty():
             break
         reached = scratch.cut(reached.unionByName(fresh).groupBy("node", "descendant").agg(F.min("distance").alias("distance")), "reached")
-    return out.unionByName(reached)
+    return ways.unionByName(reached), reached.where("node = descendant").select("node")
 
 
 def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -152,9 +142,9 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
     """
     scratch = Scratch(links.sparkSession, "hierarchy")
     peeled = peel(links, scratch, child=child, parent=parent)
-    reach = scratch.cut(descendants(peeled, scratch), "descendants")
-    cyclic = reach.where("node = descendant").select("node").unionByName(peeled.loops).distinct()
-    sizes = reach.where("node <> descendant").groupBy("node").agg(F.count(F.lit(1)).alias("n_descendants"))
+    ways, selves = descendants(peeled, scratch)
+    cyclic = scratch.cut(selves.unionByName(peeled.loops).distinct(), "cyclic")
+    sizes = ways.where("node <> descendant").select("node", "descendant").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_descendants"))
     edges = peeled.edges
     nodes = edges.select(F.col("child").alias("node"), F.col("child_height").alias("height")).unionByName(edges.select("parent", "parent_height").toDF("node", "height")).unionByName(peeled.loops.withColumn("height", F.lit(None).cast("int")))
     nodes = scratch.cut(nodes.groupBy("node").agg(F.max("height").alias("height")), "nodes")
@@ -192,11 +182,12 @@ def closure_findings(links: DataFrame, stated: DataFrame, nodes: DataFrame) -> D
     """
     scratch = Scratch(links.sparkSession, "closure")
     peeled = peel(links, scratch)
-    reach = scratch.cut(descendants(peeled, scratch), "descendants")
-    cycles = reach.where("node = descendant").select("node").unionByName(peeled.loops).distinct().withColumn("finding", F.lit("cycle"))
-    # one aggregation instead of an outer join: each side adds its mark, a pair seen by one side only is a difference
-    real = reach.where("node <> descendant").select(F.col("node").alias("ancestor"), "descendant", F.col("distance").cast("int").alias("distance"), F.lit(1).alias("mark"))
-    said = stated.select("ancestor", "descendant", F.col("distance").cast("int").alias("distance"), F.lit(2).alias("mark")).where("descendant IS NOT NULL AND NOT (ancestor <=> descendant)")
-    marks = real.unionByName(said).groupBy("descendant", "ancestor", "distance").agg(F.bit_or("mark").alias("marks"))
-    level = marks.where("marks <> 3").select(F.col("descendant").alias("node")).distinct().withColumn("finding", F.lit("level"))
+    ways, selves = descendants(peeled, scratch)
+    cycles = selves.unionByName(peeled.loops).distinct().withColumn("finding", F.lit("cycle"))
+    # one aggregation instead of an outer join: a pair is in order if both sides know it and all distances are the same
+    none = F.lit(None).cast("int")
+    real = ways.where("node <> descendant").select(F.col("node").alias("ancestor"), "descendant", F.col("distance").cast("int").alias("real"), none.alias("said"), F.lit(False).alias("unclear"))
+    said = stated.where("descendant IS NOT NULL AND NOT (ancestor <=> descendant)").select("ancestor", "descendant", none.alias("real"), F.col("distance").cast("int").alias("said"), F.col("distance").isNull().alias("unclear"))
+    pairs = real.unionByName(said).groupBy("descendant", "ancestor").agg(F.min("real").alias("real"), F.min("said").alias("said"), F.max("said").alias("most"), F.bool_or("unclear").alias("unclear"))
+    level = pairs.where("unclear OR NOT (real <=> said) OR NOT (said <=> most)").select(F.col("descendant").alias("node")).distinct().withColumn("finding", F.lit("level"))
     return cycles.unionByName(level).join(nodes.select("node").distinct(), "node", "left_semi")
