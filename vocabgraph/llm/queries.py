@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .canonical import map_names
 from .groups import match_groups
+from .leakage import find_leaks
 from .lookalike import inconsistent, with_comparable
 from .sql import ORACLE
 
@@ -65,4 +66,15 @@ def p4_equal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.groupBy("comparable").agg(F.count(F.lit(1)).alias("n_spellings"), F.min("name").alias("first_spelling")).where("n_spellings > 1")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_equal_names)}
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_item")).select("item_id", "doc_id").distinct()
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation item: how many pages hold it and the longest run."""
+    leaks = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_item"))
+    return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("run").cast("long").alias("longest_run"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_equal_names, p7_found, p7_leaked_items)}
