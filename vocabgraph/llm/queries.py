@@ -9,6 +9,8 @@ from .canonical import map_names
 from .groups import match_groups
 from .leakage import find_leaks
 from .lookalike import inconsistent, with_comparable
+from .mixing import mix
+from .quality import STATS, page_kinds
 from .sql import ORACLE
 
 TIES = ["Maps to", "Mapped from", "Same as", "Replaced by", "Replaces"]
@@ -77,4 +79,29 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("run").cast("long").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_equal_names, p7_found, p7_leaked_items)}
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the mix with their copies."""
+    pages, _ = mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_target"))
+    return pages.select("doc_id", "source", "n_tokens", F.col("copies").cast("long").alias("copies"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share per source."""
+    _, shares = mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "source_target"))
+    return shares
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_kinds(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "common_word"), _read(spark, sf_dir, "page_label"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).where("page_class <> 'prose'").select("doc_id", "page_class").distinct()
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).select("doc_id", *[F.round(s, 6).alias(s) for s in STATS], "page_class")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p4_found, p4_equal_names, p7_found, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_statistics)}
