@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 PAIRS = [("rn", "m"), ("in", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ri", "n"), ("lc", "k")]
 LETTER_GROUPS = ["eco0anupd(", "iltrjfsvy15!|", "hbk68", "gq9"]
 
+AROUND = 16
 MAX_ITEM_WORDS = 2_000_000  # words of all passages that may be broadcast as n-grams
 
 
 _TABLE = {ord(c): g[0] for g in LETTER_GROUPS for c in g}
+_ASCII = bytes(ord(_TABLE.get(b, chr(b))) for b in range(128)) + bytes(range(128, 256))
+_DROPPED = bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b).isspace() or b in _TABLE))
+_MARKS = re.compile("[\u0300-\u036f]+")
+_FOREIGN = re.compile(r"[^\W\d_a-zA-Z]")
 
 
 class _Fold(dict):
-    """Character table: grouped letters to the group's first, other letters and figures kept, spaces kept, all else dropped."""
+    """Character table for texts with letters beyond ASCII: grouped letters to the group's first, punctuation dropped."""
 
     def __missing__(self, code: int):
         c = chr(code)
@@ -32,15 +38,13 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-#: applied to an ASCII or composed text as a whole; only letters that no group holds need a second look
 
 
 def plain(text: str) -> str:
     """Lower case, old letter shapes and accents made plain."""
     text = text.lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.replace("ß", "ss"))  # also makes the long s a plain one
-        text = "".join(c for c in text if not unicodedata.combining(c))
+    if not text.isascii():  # compatibility forms also make the long s a plain one
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.replace("ß", "ss")))
     return text
 
 
@@ -48,6 +52,8 @@ def fold(text: str) -> str:
     """``plain`` text with look-alike shapes folded and punctuation dropped; white space stays."""
     for pair, one in PAIRS:
         text = text.replace(pair, one)
+    if text.isascii() or not _FOREIGN.search(text):
+        return text.replace("\xa0", " ").encode("ascii", "ignore").translate(_ASCII, _DROPPED).decode("ascii")
     return text.translate(_FOLD)
 
 
@@ -80,7 +86,7 @@ class Rules:
 
     n: int = 3
     window: int = 24
-    cover: int = 10
+    cover: int = 12
     chain: int = 13
     run: int = 20
     clear: float = 0.82
@@ -88,20 +94,21 @@ class Rules:
 
 def page_tokens(lines: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(folded tokens, line number of each, position in its line): words broken at a line end are joined."""
-    tokens, at, pos = [], [], []
+    tokens: list[str] = []
+    sizes: list[int] = []
     carried = ""
-    for number, line in enumerate(lines):
-        line = line.rstrip()
-        broken = line.endswith(("-", "¬")) and len(line) > 1 and line[-2].isalpha()
-        own = fold_words(line)
+    folded = fold(plain("\n".join(lines))).split("\n")
+    for line, text in zip(lines, folded):
+        own = text.split()
         if carried and own:
             tokens[-1] = carried + own.pop(0)
-        first = len(tokens)
         tokens.extend(own)
-        at.extend([number] * len(own))
-        pos.extend(range(len(own)))
-        carried = tokens[-1] if broken and len(tokens) > first else ""
-    return tokens, np.array(at, np.int64), np.array(pos, np.int64)
+        sizes.append(len(own))
+        line = line.rstrip()
+        carried = tokens[-1] if own and len(line) > 1 and line[-1] in "-¬" and line[-2].isalpha() else ""
+    counts = np.array(sizes, np.int64)
+    at = np.repeat(np.arange(len(counts)), counts)
+    return tokens, at, np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def fold_words(line: str) -> list[str]:
@@ -125,7 +132,7 @@ class Item:
         self.pairs = {a + b: i for i, (a, b) in enumerate(zip(self.words, self.words[1:]))}
 
 
-def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray) -> tuple[int, int, list[int]]:
+def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, places: tuple[int, int] | None = None, spots: tuple[int, int] | None = None) -> tuple[int, int, list[int]]:
     """(passage words in the best run, how many of them are read on the page, lines of the page that hold them).
 
     A run follows the passage word by word. A word of the page may be misread (no match, at a cost), broken in two or
@@ -135,6 +142,13 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray) -> t
     n, m = len(tokens), len(item.words)
     if not n or not m:
         return 0, 0, []
+    lengths = np.bincount(line)
+    ends = pos >= lengths[line] - 2
+    low_row, high_row = (max(0, places[0] - AROUND), min(m, places[1] + AROUND)) if places else (0, m)
+    if spots:  # the rest of the page is out of the run's reach
+        cut = slice(max(0, spots[0] - 4 * AROUND), spots[1] + 4 * AROUND)
+        tokens, line, pos, ends = tokens[cut], line[cut], pos[cut], ends[cut]
+        n = len(tokens)
     equal = np.zeros((m, n), bool)
     halves = np.zeros((m, n), bool)  # passage word i is tokens j-1 and j
     glued = np.zeros((m, n), bool)  # passage words i-1 and i are token j
@@ -150,54 +164,51 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray) -> t
                 halves[i, j] = True
         if (i := item.pairs.get(t)) is not None:
             glued[i + 1, j] = True
-    lengths = np.bincount(line)
     starts = pos <= 1
-    ends = pos >= lengths[line] - 2
     gap = 2.5
     low = -1e9
-    shift = lambda a, k, fill: np.concatenate([np.full(k, fill, a.dtype), a[:-k]]) if k < n else np.full(n, fill, a.dtype)
-    zero = np.zeros(n, np.int64)
-    prev = (np.full(n, low), zero, zero)  # score, first passage word, words read
-    prev2 = prev
+    # each state is three arrays (score, first passage word, words read) with two cells before the page's first token
+    blank = (np.full(n + 2, low), np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64))
+    prev = prev2 = blank
     index = np.arange(n)
     best = (0.0, 0, 0, 0, 0)
-    for i in range(m):
+    for i in range(low_row, high_row):
         e = equal[i]
-        score = np.where(e, 1.0, low)
-        first = np.full(n, i)
-        read = e.astype(np.int64)
-
-        def offer(value, source, k, gain, count, where=None):
-            nonlocal score, first, read
-            s = shift(source[0], k, low) + gain if k else source[0] + gain
-            if where is not None:
-                s = np.where(where, s, low)
+        hit = e.astype(np.int64)
+        state = (np.full(n + 2, low), np.full(n + 2, i), np.zeros(n + 2, np.int64))
+        score, first, read = (x[2:] for x in state)
+        score[e] = 1.0
+        read[:] = hit
+
+        def offer(source, k, gain, count):
+            cut = slice(2 - k, n + 2 - k)
+            s = source[0][cut] + gain
             better = s > score
             if better.any():
-                score = np.where(better, s, score)
-                first = np.where(better, shift(source[1], k, 0) if k else source[1], first)
-                read = np.where(better, (shift(source[2], k, 0) if k else source[2]) + count, read)
+                np.copyto(score, s, where=better)
+                np.copyto(first, source[1][cut], where=better)
+                np.copyto(read, source[2][cut] + count, where=better)
 
         step = np.where(e, 1.0, -1.0)
-        offer(None, prev, 1, step, e.astype(np.int64))
-        offer(None, prev, 2, step - 0.8, e.astype(np.int64))  # a stray token between
-        offer(None, prev, 0, np.full(n, -1.2), zero)  # a word that isn't there
+        offer(prev, 1, step, hit)
+        offer(prev, 2, step - 0.8, hit)  # a stray token between
+        offer(prev, 0, -1.2, 0)  # a word that isn't there
         if halves[i].any():
-            offer(None, prev, 2, np.where(halves[i], 1.0, low), zero + 1)
+            offer(prev, 2, np.where(halves[i], 1.0, low), 1)
         if glued[i].any():
-            offer(None, prev2, 1, np.where(glued[i], 2.0, low), zero + 2)
-        # over lines that don't belong: from a line end to any later line start
-        leave = np.where(ends, prev[0], low)
-        top = np.maximum.accumulate(leave)
-        where_top = np.maximum.accumulate(np.where(leave >= top, index, 0))
-        source = (top, prev[1][where_top], prev[2][where_top])
-        offer(None, source, 2, np.where(starts & e, 1.0 - gap, low), zero + 1)
-        dead = score <= 0
-        score = np.where(dead, low, score)
+            offer(prev2, 1, np.where(glued[i], 2.0, low), 2)
+        enter = starts & e
+        if enter.any():  # over lines that don't belong: from a line end to any later line start
+            leave = np.where(ends, prev[0][2:], low)
+            top = np.maximum.accumulate(leave)
+            where_top = np.maximum.accumulate(np.where(leave >= top, index, 0)) + 2
+            source = tuple(np.concatenate([b[:2], x]) for b, x in zip(blank, (top, prev[1][where_top], prev[2][where_top])))
+            offer(source, 2, np.where(enter, 1.0 - gap, low), 1)
+        score[score <= 0] = low
         j = int(score.argmax())
         if score[j] > best[0]:
             best = (float(score[j]), i - int(first[j]) + 1, int(read[j]), i, j)
-        prev2, prev = prev, (score, first, read)
+        prev2, prev = prev, state
     _, run, seen, last, end = best
     own = equal[last - run + 1 : last + 1].any(axis=0)
     own[end + 1 :] = False
@@ -216,18 +227,26 @@ def in_window(starts: set[int], n: int, window: int) -> int:
     return most
 
 
-def chained(hits: list[tuple[int, int]], n: int) -> int:
-    """Most passage words covered by hits (passage place, page place) in the order of both; leaving the diagonal costs two."""
+def chained(hits: list[tuple[int, int]], n: int) -> tuple[int, tuple[int, int], tuple[int, int]]:
+    """Most passage words covered by hits (passage place, page place) in the order of both, leaving the diagonal costing two words;
+    with the passage's and the page's first and last place of that chain."""
     hits = sorted(hits)
     value = [n] * len(hits)
+    first = list(range(len(hits)))
     for a, (k, j) in enumerate(hits):
         for b in range(a - 1, -1, -1):
             dk, dj = k - hits[b][0], j - hits[b][1]
-            if dk > 3 * n:
+            if dk > 5 * n:
                 break
             if dk > 0 and dj > 0:
-                value[a] = max(value[a], value[b] + min(dk, n) - (0 if abs(dj - dk) <= 2 else 2))
-    return max(value, default=0)
+                worth = value[b] + min(dk, n) - (0 if abs(dj - dk) <= 2 else 2)
+                if worth > value[a]:
+                    value[a], first[a] = worth, first[b]
+    if not hits:
+        return 0, (0, 0), (0, 0)
+    last = max(range(len(hits)), key=value.__getitem__)
+    low = hits[first[last]]
+    return value[last], (low[0], hits[last][0]), (low[1], hits[last][1])
 
 
 class Passages:
@@ -241,20 +260,18 @@ class Passages:
             ws = fold_words(passage)
             for k in range(len(ws) - rules.n + 1):
                 self.grams[" ".join(ws[k : k + rules.n])].append((i, k))
+        self._keys = frozenset(self.grams)
         self._items: dict[int, Item] = {}
 
     def candidates(self, text: str) -> list[int]:
-        """Items whose n-grams cover enough of a window, lines taken one by one in any order."""
+        """Items whose n-grams cover enough of a window, the page's lines taken as they come."""
         n, grams = self.rules.n, self.grams
         hits: dict[int, set[int]] = {}
-        for line in fold(plain(text)).split("\n"):
-            ws = line.split()
-            for gram in map(" ".join, zip(*(ws[k:] for k in range(n)))):
-                if gram in grams:
-                    for i, k in grams[gram]:
-                        hits.setdefault(i, set()).add(k)
-        least = self.rules.cover - n + 1
-        return [i for i, starts in hits.items() if n * len(starts) >= self.rules.cover and len(starts) * n > least and in_window(starts, n, self.rules.window) >= self.rules.cover]
+        ws = fold(plain(text)).split()
+        for gram in self._keys.intersection(map(" ".join, zip(*(ws[k:] for k in range(n))))):
+            for i, k in grams[gram]:
+                hits.setdefault(i, set()).add(k)
+        return [i for i, starts in hits.items() if n * len(starts) >= self.rules.cover and in_window(starts, n, self.rules.window) >= self.rules.cover]
 
     def verify(self, text: str, boxes: list[tuple | None] | None, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
         """(item, run, words read, line numbers) of the cases among ``items``."""
@@ -269,11 +286,12 @@ class Passages:
                     hits[i].append((k, j))
         out = []
         for i, own in hits.items():
-            if chained(own, rules.n) < rules.chain:
+            worth, places, spots = chained(own, rules.n)
+            if worth < rules.chain:
                 continue
             if i not in self._items:
                 self._items[i] = Item(self.texts[i])
-            run, seen, at = align(self._items[i], tokens, line, pos)
+            run, seen, at = align(self._items[i], tokens, line, pos, places, spots)
             if run >= rules.run and seen >= rules.clear * run:
                 out.append((i, run, seen, [order[x] for x in at]))
         return out
