@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import graph_queries, graph_sql, problems
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p6_found(spark, sf_dir)
+    """Every stated ancestor reached again over the links: shortest paths, ranked."""
+    return graph_queries.path_rank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return graph_queries.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return graph_sql.ORACLE | problems.ORACLE
