@@ -87,7 +87,7 @@ def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]
 
     A peeled node merges the lists of its children, each one link longer, and sends its own list on to its parents. A message is
     written once into the folder of its receiver's height and read once in that height's round. Nodes that were never
-    peeled then exchange lists until nothing gets shorter; one that receives itself lies on a cycle.
+    peeled reach one another breadth first and pass their lists along these ways; one that reaches itself lies on a cycle.
     """
     spark, edges = scratch.spark, peeled.edges
     stuck_height = peeled.heights + 1
@@ -111,25 +111,22 @@ def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]
         if per_height.get(height):
             up = edges.where(F.col("child_height") == height).select(F.col("child").alias("node"), "parent", target.alias("at"))
             send(inbox(height).join(_bounded(up, per_height[height]), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"), "at"))
-    whole = spark.read.schema(schema + ", at int").parquet(place)
-    ways = whole.where(F.col("at") <= peeled.heights).select(*box)
+    whole = spark.read.schema(schema + ", at int").parquet(place).select(*box)
     if not peeled.stuck:
-        return ways, ways.select("node").limit(0)
-    between = edges.where("child_height IS NULL AND parent_height IS NULL").select(F.col("child").alias("node"), "parent")
-    between = scratch.cut(between, "cyclic-links")
+        return whole, whole.select("node").limit(0)
+    # among the nodes never peeled, few as a rule, the ways are found breadth first; then each list is handed on once
+    between = scratch.cut(edges.where("child_height IS NULL AND parent_height IS NULL").select(F.col("child").alias("top"), F.col("parent").alias("next")), "cyclic-links")
     n_between = between.count()
-    reached = scratch.cut(inbox(stuck_height).select(*box), "reached")
-    fresh = reached
+    known = fresh = scratch.cut(between.select(F.col("next").alias("top"), F.col("top").alias("node"), F.lit(1).alias("far")), "cyclic-ways")
     while True:
-        offers = fresh.join(_bounded(between, n_between), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"))
-        offers = offers.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
-        known = reached.select("node", "descendant", F.col("distance").alias("_old"))
-        fresh = offers.join(known, ["node", "descendant"], "left").where("_old IS NULL OR distance < _old").select(*box)
-        fresh = scratch.cut(fresh, "fresh")
+        step = fresh.join(_bounded(between, n_between), "top").select(F.col("next").alias("top"), "node", (F.col("far") + 1).alias("far")).distinct()
+        fresh = scratch.cut(step.join(known.select("top", "node"), ["top", "node"], "left_anti"), "cyclic-ways")
         if fresh.isEmpty():
             break
-        reached = scratch.cut(reached.unionByName(fresh).groupBy("node", "descendant").agg(F.min("distance").alias("distance")), "reached")
-    return ways.unionByName(reached), reached.where("node = descendant").select("node")
+        known = known.unionByName(fresh)
+    known = scratch.cut(known, "cyclic-ways")
+    handed = inbox(stuck_height).join(_bounded(known, known.count()), "node").select(F.col("top").alias("node"), "descendant", (F.col("distance") + F.col("far")).alias("distance"))
+    return whole.unionByName(handed), known.where("top = node").select("node")
 
 
 def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent") -> DataFrame:
