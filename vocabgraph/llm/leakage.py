@@ -18,6 +18,7 @@ PAIRS = [("rn", "m"), ("in", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li",
 LETTER_GROUPS = ["eco0anupd(", "iltrjfsvy15!|", "hbk68", "gq9"]
 
 AROUND = 16
+STRETCH, OVERLAP = 2_000, 600  # tokens of a very long page that are verified together, and shared by neighbours
 MAX_ITEM_WORDS = 2_000_000  # words of all passages that may be broadcast as n-grams
 
 
@@ -274,11 +275,20 @@ class Passages:
         return [i for i, starts in hits.items() if n * len(starts) >= self.rules.cover and in_window(starts, n, self.rules.window) >= self.rules.cover]
 
     def verify(self, text: str, boxes: list[tuple | None] | None, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
-        """(item, run, words read, line numbers) of the cases among ``items``."""
-        rules = self.rules
+        """(item, run, words read, line numbers) of the cases among ``items``; very long pages are taken in overlapping stretches."""
         lines = text.split("\n")
         order = reading_order(lines, boxes)
         tokens, line, pos = page_tokens([lines[i] for i in order])
+        best: dict[int, tuple[int, int, int, list[int]]] = {}
+        for start in range(0, max(1, len(tokens) - OVERLAP), STRETCH - OVERLAP) if len(tokens) > 2 * STRETCH else (0,):
+            cut = slice(start, start + STRETCH) if len(tokens) > 2 * STRETCH else slice(None)
+            for i, run, seen, at in self._verify(tokens[cut], line[cut], pos[cut], items):
+                if i not in best or run > best[i][1]:
+                    best[i] = (i, run, seen, sorted({order[x] for x in at} | set(best[i][3] if i in best else ())))
+        return list(best.values())
+
+    def _verify(self, tokens: list[str], line: np.ndarray, pos: np.ndarray, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
+        rules = self.rules
         hits: dict[int, list[tuple[int, int]]] = {i: [] for i in items}
         for j in range(len(tokens) - rules.n + 1):
             for i, k in self.grams.get(" ".join(tokens[j : j + rules.n]), ()):
@@ -293,7 +303,7 @@ class Passages:
                 self._items[i] = Item(self.texts[i])
             run, seen, at = align(self._items[i], tokens, line, pos, places, spots)
             if run >= rules.run and seen >= rules.clear * run:
-                out.append((i, run, seen, [order[x] for x in at]))
+                out.append((i, run, seen, at))
         return out
 
 

@@ -238,9 +238,14 @@ def with_kind(stats: DataFrame, model: Mixture) -> DataFrame:
 
 
 def page_kinds(documents: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, STATS, page_class, kind_share) of every page: statistics, mixture, kinds. An empty table gives no rows."""
+    """(doc_id, STATS, page_class, kind_share) of every page: statistics, mixture, kinds.
+
+    An empty table gives no rows. Without a labelled page kinds have no names: page_class is null but for pages without words,
+    which are junk.
+    """
     scratch = Scratch(documents.sparkSession, "quality")
     stats = scratch.cut(statistics(documents, common_words), "statistics")
-    if stats.isEmpty():
-        return stats.select("*", F.lit(None).cast("string").alias("page_class"), F.lit(None).cast("double").alias("kind_share"))
+    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page_class").alias("kind")).where(F.col("kind").isin(KINDS))
+    if stats.join(own, "doc_id", "left_semi").isEmpty():
+        return stats.select("*", F.when(F.col("n_words") == 0, "junk").alias("page_class"), F.when(F.col("n_words") == 0, 1.0).alias("kind_share"))
     return with_kind(stats, fit_mixture(stats, labels))
