@@ -168,17 +168,18 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, plac
     starts = pos <= 1
     gap = 2.5
     low = -1e9
-    # each state is three arrays (score, first passage word, words read) with two cells before the page's first token
-    blank = (np.full(n + 2, low), np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64))
+    # each state is four arrays (score, first passage word, words read, first token) with two cells before the page's first token
+    blank = (np.full(n + 2, low), *[np.zeros(n + 2, np.int64)] * 3)
     prev = prev2 = blank
     index = np.arange(n)
-    best = (0.0, 0, 0, 0, 0)
+    best = (0.0, 0, 0, 0, 0, 0)
     for i in range(low_row, high_row):
         e = equal[i]
         hit = e.astype(np.int64)
-        state = (np.full(n + 2, low), np.full(n + 2, i), np.zeros(n + 2, np.int64))
-        score, first, read = (x[2:] for x in state)
+        state = (np.full(n + 2, low), np.full(n + 2, i), np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64))
+        score, first, read, origin = (x[2:] for x in state)
         score[e] = 1.0
+        origin[:] = index
         read[:] = hit
 
         def offer(source, k, gain, count):
@@ -189,6 +190,7 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, plac
                 np.copyto(score, s, where=better)
                 np.copyto(first, source[1][cut], where=better)
                 np.copyto(read, source[2][cut] + count, where=better)
+                np.copyto(origin, source[3][cut], where=better)
 
         step = np.where(e, 1.0, -1.0)
         offer(prev, 1, step, hit)
@@ -203,16 +205,16 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, plac
             leave = np.where(ends, prev[0][2:], low)
             top = np.maximum.accumulate(leave)
             where_top = np.maximum.accumulate(np.where(leave >= top, index, 0)) + 2
-            source = tuple(np.concatenate([b[:2], x]) for b, x in zip(blank, (top, prev[1][where_top], prev[2][where_top])))
+            source = tuple(np.concatenate([b[:2], x]) for b, x in zip(blank, (top, prev[1][where_top], prev[2][where_top], prev[3][where_top])))
             offer(source, 2, np.where(enter, 1.0 - gap, low), 1)
         score[score <= 0] = low
         j = int(score.argmax())
         if score[j] > best[0]:
-            best = (float(score[j]), i - int(first[j]) + 1, int(read[j]), i, j)
+            best = (float(score[j]), i - int(first[j]) + 1, int(read[j]), i, j, int(origin[j]))
         prev2, prev = prev, state
-    _, run, seen, last, end = best
+    _, run, seen, last, end, start = best
     own = equal[last - run + 1 : last + 1].any(axis=0)
-    own[end + 1 :] = False
+    own[:start] = own[end + 1 :] = False
     share = np.bincount(line[own], minlength=len(lengths)) / np.maximum(lengths, 1)
     return run, seen, np.flatnonzero(share >= 0.5).tolist()
 
