@@ -164,7 +164,7 @@ class KnowledgeGraph:
         return self.spark.createDataFrame([(0, int(source), int(target))], "pair_id bigint, source bigint, target bigint")
 
     def _search(self, source: int, target: int, predicate_kinds, max_depth: int, on: date | None, max_paths: int) -> ShortestPaths:
-        return shortest_paths(self.edges, self._pair(source, target), rule=E.EdgeFilter(kinds=E.kinds_tuple(predicate_kinds), on=on), max_depth=max_depth, max_paths=max_paths, alternate=True)
+        return shortest_paths(self.edges, self._pair(source, target), rule=E.EdgeFilter(kinds=E.kinds_tuple(predicate_kinds), on=on), max_depth=max_depth, max_paths=max_paths)
 
     def find_shortest_paths(self, source: int, target: int, *, predicate_kinds: Iterable[str] | None = None, max_depth: int = 6, on: date | None = None, max_paths: int = 20, traced: bool = False) -> tuple[list[GraphPath], GraphTrace | None]:
         found = self._search(source, target, predicate_kinds, max_depth, on, max_paths)
@@ -172,7 +172,7 @@ class KnowledgeGraph:
         if not traced:
             return paths, None
         steps: dict[tuple, list] = {}
-        rows = found.trace.orderBy("depth", "side", "node", "predicate_id", "object_id").collect() if found.trace is not None else []
+        rows = found.trace.orderBy("depth", "side", "node", "predicate_id", "object_id").collect()
         for r in rows:
             steps.setdefault((r.depth, r.side, r.node), []).append(EdgeView(r.subject_id, r.predicate_id, r.object_id))
         return paths, GraphTrace((source,), tuple(TraceStep(d, n, tuple(e)) for (d, _, n), e in steps.items()), found.summary.first()["reason"])
@@ -181,7 +181,7 @@ class KnowledgeGraph:
         found = self._search(source, target, predicate_kinds, max_depth, on, max_paths)
         ranked = rank_paths(path_profile(self.tables, found.paths))
         told: dict[int, list] = {}
-        for r in explain(self.tables, ranked, found.trace).orderBy("path_no", "step_no").collect():
+        for r in explain(self.tables, ranked, found.expansions).orderBy("path_no", "step_no").collect():
             told.setdefault(r.path_no, []).append(PathExplanationStep(PathStep(r.subject, r.predicate, r.object), r.traversal_depth, r.kind, r.reason))
         out = []
         for r in ranked.orderBy("rank_no").collect():

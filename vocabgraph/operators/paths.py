@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,98 +11,108 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .edges import EdgeFilter
 
+OUT, BACK = "forward", "backward"
+STATE = ["pair_id", "side", "node", "depth", "fan", "fresh"]
 STEP = "struct<subject:bigint,predicate:string,object:bigint>"
 
 
 @dataclass(frozen=True)
 class ShortestPaths:
-    """paths: (pair_id, path_no, hops, steps); summary: (pair_id, hops, reason); trace: (pair_id, side, depth, node, subject_id, predicate_id,
-    object_id), the expansions of both searches."""
+    """paths: (pair_id, path_no, hops, steps); summary: (pair_id, hops, reason); expansions: (pair_id, side, depth, node), the nodes both
+    searches opened; trace: those with the edges they met (subject_id, predicate_id, object_id)."""
 
     paths: DataFrame
     summary: DataFrame
+    expansions: DataFrame
     trace: DataFrame
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int = 6, max_paths: int = 20, alternate: bool = False) -> ShortestPaths:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int = 6, max_paths: int = 20) -> ShortestPaths:
     """All shortest directed paths of at most ``max_depth`` steps for ``pairs`` (pair_id, source, target), up to ``max_paths`` per pair.
 
-    Two searches close in on each other, each level one join for all open pairs; the side with the smaller frontier moves,
-    or with ``alternate`` both in turn, source first (then the trace does not depend on the other pairs). A pair leaves
-    when its searches meet. Only edges on some shortest path are then walked; every prefix kept leads to the target, so
-    capping each level by the order of steps gives the first ``max_paths`` of all. Parallel predicates are paths of their own, no path
-    comes twice. source = target gives one path without steps. Pairs with a null end are dropped, repeats of a pair_id count once.
+    Two searches per pair close in on each other. Each round is one join in which every open pair moves the side that has fewer
+    steps ahead (the source's on ties), so a hub among the targets isn't opened while the other side is cheap, and no
+    pair's search depends on the others. A pair leaves when its searches meet. Only edges on some shortest path are then
+    walked; every prefix kept leads to the target, so capping each level by the order of steps gives the first ``max_paths`` of all.
+    Parallel predicates are paths of their own, no path comes twice. source = target gives one path without steps. Pairs with a
+    null end are dropped, repeats of a pair_id count once.
     """
     rule = rule or EdgeFilter()
     scratch = Scratch(edges.sparkSession, "paths")
     links = scratch.cut(edges.where(rule.condition()).select(F.col("subject_id").alias("s"), F.col("predicate_id").alias("p"), F.col("object_id").alias("o")).dropna().distinct(), "links")
     hops = links.select("s", "o").distinct()
+    ways = scratch.cut(hops.select(F.lit(OUT).alias("side"), F.col("s").alias("node"), F.col("o").alias("next")).unionByName(hops.select(F.lit(BACK).alias("side"), F.col("o").alias("node"), F.col("s").alias("next"))), "ways")
+    fan = ways.groupBy("side", "node").agg(F.count(F.lit(1)).alias("fan"))
     asked = scratch.cut(pairs.select("pair_id", "source", "target").dropna().dropDuplicates(["pair_id"]), "pairs")
-    same = asked.where("source = target")
     open_pairs = asked.where("source <> target")
-    sides = {
-        "forward": {"depth": 0, "levels": [scratch.cut(open_pairs.select("pair_id", F.col("source").alias("node")), "f0")], "from": "s", "to": "o"},
-        "backward": {"depth": 0, "levels": [scratch.cut(open_pairs.select("pair_id", F.col("target").alias("node")), "b0")], "from": "o", "to": "s"},
-    }
-    frontier = {k: v["levels"][0] for k, v in sides.items()}
-    met: list[DataFrame] = []  # (pair_id, hops, turn, node), turn: depth of the forward search at the meeting
-    moves: list[tuple[str, int, DataFrame]] = []
+    first = open_pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(OUT).alias("side"), F.col("source").alias("node")), F.struct(F.lit(BACK).alias("side"), F.col("target").alias("node")))).alias("x"))
+    first = first.select("pair_id", "x.side", "x.node", F.lit(0).alias("depth"), F.lit(True).alias("fresh"))
+    # a state holds the frontiers of both sides of every open pair; fresh rows are those the last round reached
+    state = scratch.cut(first.join(fan, ["side", "node"], "left").select(*STATE), "state-0")
+    reached = state.where("fresh").select("pair_id", "side", "node", "depth")
+    met: list[DataFrame] = []  # (pair_id, node, hops, turn), turn: depth of the search from the source at the meeting
+    moves: list[DataFrame] = []
     for total in range(1, max_depth + 1):
-        if alternate:
-            side = "forward" if total % 2 else "backward"
-        else:
-            side = "forward" if frontier["forward"].count() <= frontier["backward"].count() else "backward"
-        own, other = sides[side], sides["backward" if side == "forward" else "forward"]
-        moves.append((side, own["depth"], frontier[side]))
-        step = frontier[side].join(hops, F.col("node") == F.col(own["from"])).select("pair_id", F.col(own["to"]).alias("node")).distinct()
-        for level in own["levels"]:
-            step = step.join(level, ["pair_id", "node"], "left_anti")
-        step = scratch.cut(step, f"{side}-{total}")
-        own["depth"] += 1
-        own["levels"].append(step)
-        meeting = scratch.cut(step.join(other["levels"][-1], ["pair_id", "node"], "left_semi"), f"met-{total}")
-        met.append(meeting.select("pair_id", F.lit(total).alias("hops"), F.lit(sides["forward"]["depth"]).alias("turn"), "node"))
-        done = meeting.select("pair_id").distinct()
-        frontier[side] = scratch.cut(step.join(done, "pair_id", "left_anti"), "frontier")
-        far = "backward" if side == "forward" else "forward"
-        frontier[far] = scratch.cut(frontier[far].join(done, "pair_id", "left_anti"), "frontier")
-        if frontier[side].isEmpty() or frontier[far].isEmpty():
+        now = state.join(met[-1].select("pair_id"), "pair_id", "left_anti") if met else state
+        ahead = lambda side: F.sum(F.when(F.col("side") == side, F.coalesce("fan", F.lit(0))))
+        choice = now.groupBy("pair_id").agg(ahead(OUT).alias("_out"), ahead(BACK).alias("_back")).where("_out IS NOT NULL AND _back IS NOT NULL")
+        tagged = now.join(choice.select("pair_id", F.when(F.col("_out") <= F.col("_back"), OUT).otherwise(BACK).alias("move")), "pair_id")
+        moving = tagged.where("side = move")
+        moves.append(moving.select("pair_id", "side", "depth", "node"))
+        step = moving.join(ways, ["side", "node"]).select("pair_id", "side", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        step = step.join(reached, ["pair_id", "side", "node"], "left_anti").join(fan, ["side", "node"], "left").withColumn("fresh", F.lit(True))
+        stay = tagged.where("side <> move").withColumn("fresh", F.lit(False))
+        state, seen = scratch.measured(step.select(*STATE).unionByName(stay.select(*STATE)), f"state-{total}", fresh=F.sum(F.col("fresh").cast("int")))
+        if not seen["fresh"]:
             break
-    walked = None
-    none = asked.select("pair_id", F.lit(0).alias("hops"), F.array().cast(f"array<{STEP}>").alias("steps")).limit(0)
-    # one group of pairs per meeting point of the two searches: (forward depth, backward depth)
-    for meeting in met:
-        first = meeting.select("hops", "turn").first()
-        if first is None:
-            continue
-        total, turn = first
-        middle = meeting.select("pair_id", "node")
-        useful = {turn: middle}
-        for depth in range(turn - 1, -1, -1):
-            level = sides["forward"]["levels"][depth]
-            back = useful[depth + 1].join(hops, F.col("node") == F.col("o")).select("pair_id", F.col("s").alias("node")).distinct()
-            useful[depth] = scratch.cut(level.join(back, ["pair_id", "node"], "left_semi"), f"useful-{depth}")
-        for depth in range(turn + 1, total + 1):
-            useful[depth] = sides["backward"]["levels"][total - depth]
-        paths = useful[0].select("pair_id", "node", F.array().cast(f"array<{STEP}>").alias("steps"))
-        for depth in range(total):
-            nxt = paths.join(links, F.col("node") == F.col("s")).select("pair_id", F.col("o").alias("node"), F.concat("steps", F.array(F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object")))).alias("steps"))
-            nxt = nxt.join(useful[depth + 1], ["pair_id", "node"], "left_semi")
-            paths = nxt.withColumn("_no", F.row_number().over(Window.partitionBy("pair_id").orderBy("steps"))).where(F.col("_no") <= max_paths).drop("_no")
-        paths = scratch.cut(paths.select("pair_id", F.lit(total).alias("hops"), "steps"), "walked")
-        walked = paths if walked is None else walked.unionByName(paths)
-    walked = none if walked is None else walked
-    trivial = same.select("pair_id", F.lit(0).alias("hops"), F.array().cast(f"array<{STEP}>").alias("steps"))
-    every = walked.unionByName(trivial).withColumn("path_no", F.row_number().over(Window.partitionBy("pair_id").orderBy("steps"))).select("pair_id", "path_no", "hops", "steps")
-    lengths = every.groupBy("pair_id").agg(F.min("hops").alias("hops"))
+        reached = reached.unionByName(state.where("fresh").select("pair_id", "side", "node", "depth"))
+        both = state.groupBy("pair_id", "node").agg(F.max(F.when(F.col("side") == OUT, F.col("depth"))).alias("turn"), F.max(F.when(F.col("side") == BACK, F.col("depth"))).alias("_back"))
+        meeting, n_met = scratch.counted(both.where("turn IS NOT NULL AND _back IS NOT NULL").select("pair_id", "node", F.lit(total).alias("hops"), "turn"), "met")
+        if n_met:
+            met.append(meeting)
+    empty = F.array().cast(f"array<{STEP}>")
+    every = asked.where("source = target").select("pair_id", F.lit(0).alias("hops"), empty.alias("steps"))
+    if met:
+        every = every.unionByName(_walk(asked, links, hops, reached, reduce(DataFrame.unionByName, met), max_paths, scratch))
+    every = every.withColumn("path_no", F.row_number().over(Window.partitionBy("pair_id").orderBy("steps"))).select("pair_id", "path_no", "hops", "steps")
+    lengths = every.where("path_no = 1").select("pair_id", "hops")
     reason = F.when(F.col("source") == F.col("target"), "source_equals_target").when(F.col("hops").isNull(), "no_path").otherwise("shortest_paths_found")
     summary = asked.join(lengths, "pair_id", "left").select("pair_id", "hops", reason.alias("reason"))
-    trace = None
-    for side, depth, nodes in moves:
-        end = "s" if side == "forward" else "o"
-        part = nodes.join(links, F.col("node") == F.col(end)).select("pair_id", F.lit(side).alias("side"), F.lit(depth).alias("depth"), "node", F.col("s").alias("subject_id"), F.col("p").alias("predicate_id"), F.col("o").alias("object_id"))
-        trace = part if trace is None else trace.unionByName(part)
-    return ShortestPaths(every, summary, trace)
+    expansions = reduce(DataFrame.unionByName, moves) if moves else reached.select("pair_id", "side", "depth", "node").limit(0)
+    darts = links.select(F.lit(OUT).alias("side"), F.col("s").alias("node"), "s", "p", "o").unionByName(links.select(F.lit(BACK).alias("side"), F.col("o").alias("node"), "s", "p", "o"))
+    trace = expansions.join(darts, ["side", "node"]).select("pair_id", "side", "depth", "node", F.col("s").alias("subject_id"), F.col("p").alias("predicate_id"), F.col("o").alias("object_id"))
+    return ShortestPaths(every, summary, expansions, trace)
+
+
+def _walk(asked: DataFrame, links: DataFrame, hops: DataFrame, reached: DataFrame, met: DataFrame, max_paths: int, scratch: Scratch) -> DataFrame:
+    """(pair_id, hops, steps) of the pairs in ``met``: the useful nodes of each depth are swept back from the meetings, then walked."""
+    meta = scratch.cut(met.select("pair_id", "hops", "turn").distinct(), "meta")
+    last, most = meta.agg(F.max("turn"), F.max("hops")).first()
+    known = scratch.cut(reached.join(meta, "pair_id"), "reached", ["side"])
+    forward = known.where(F.col("side") == OUT)
+    useful: DataFrame | None = None
+    parts = []
+    for depth in range(last, -1, -1):
+        here = met.where(F.col("turn") == depth).select("pair_id", "node")
+        if useful is not None:
+            back = useful.join(hops, F.col("node") == F.col("o")).select("pair_id", F.col("s").alias("node")).distinct()
+            here = here.unionByName(forward.where(F.col("depth") == depth).join(back, ["pair_id", "node"], "left_semi").select("pair_id", "node"))
+        useful = scratch.cut(here, f"useful-{depth}")
+        parts.append(useful.select("pair_id", "node", F.lit(depth).alias("depth")))
+    # allowed at a depth: useful nodes up to the meeting, then the nodes that are as far from the target as steps are left
+    parts.append(known.where(F.col("side") == BACK).where("hops - depth > turn").select("pair_id", "node", (F.col("hops") - F.col("depth")).alias("depth")))
+    allowed = scratch.cut(reduce(DataFrame.unionByName, parts), "allowed", ["depth"])
+    paths = asked.join(meta, "pair_id").select("pair_id", "hops", F.col("source").alias("node"), F.array().cast(f"array<{STEP}>").alias("steps"))
+    done = None
+    order = Window.partitionBy("pair_id").orderBy("steps")
+    for depth in range(1, most + 1):
+        step = F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
+        paths = paths.where(F.col("hops") >= depth).join(links, F.col("node") == F.col("s")).select("pair_id", "hops", F.col("o").alias("node"), F.concat("steps", F.array(step)).alias("steps"))
+        paths = paths.join(allowed.where(F.col("depth") == depth).select("pair_id", "node"), ["pair_id", "node"], "left_semi")
+        paths = scratch.cut(paths.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= max_paths).drop("_no"), "walk")
+        ended = paths.where(F.col("hops") == depth).select("pair_id", "hops", "steps")
+        done = ended if done is None else done.unionByName(ended)
+    return done
 
 
 def path_nodes(steps):

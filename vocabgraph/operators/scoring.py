@@ -52,21 +52,21 @@ def rank_paths(profiled: DataFrame) -> DataFrame:
     return profiled.withColumn("rank_no", F.row_number().over(Window.partitionBy("pair_id").orderBy(path_rank(), "path_no")))
 
 
-def explain(tables: VocabularyTables, paths: DataFrame, trace: DataFrame) -> DataFrame:
+def explain(tables: VocabularyTables, paths: DataFrame, expansions: DataFrame) -> DataFrame:
     """(pair_id, path_no, step_no, subject, predicate, object, traversal_depth, kind, reason).
 
-    traversal_depth is the depth at which the search expanded the step's subject over this edge, null if only the search
-    from the target did.
+    ``expansions``: (pair_id, side, depth, node). traversal_depth is the depth at which the search from the source opened the step's subject,
+    and so met this edge; null if only the search from the target did.
     """
     steps = paths.select("pair_id", "path_no", F.posexplode("steps").alias("pos", "step")).select("pair_id", "path_no", (F.col("pos") + 1).alias("step_no"), "step.subject", "step.predicate", "step.object")
-    seen = trace.where("node = subject_id").groupBy("pair_id", F.col("subject_id").alias("subject"), F.col("predicate_id").alias("predicate"), F.col("object_id").alias("object")).agg(F.min("depth").alias("traversal_depth"))
+    seen = expansions.where("side = 'forward'").select("pair_id", F.col("node").alias("subject"), F.col("depth").alias("traversal_depth"))
     kinds = predicates(tables).select(F.col("predicate_id").alias("predicate"), "kind")
-    out = steps.join(seen, ["pair_id", "subject", "predicate", "object"], "left").join(kinds, "predicate", "left")
+    out = steps.join(seen, ["pair_id", "subject"], "left").join(kinds, "predicate", "left")
     return out.select("pair_id", "path_no", "step_no", "subject", "predicate", "object", "traversal_depth", "kind", kind_label(F.col("kind")).alias("reason"))
 
 
 def ranked_paths_with_explanations(tables: VocabularyTables, edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int = 6, max_paths: int = 20) -> tuple[DataFrame, DataFrame, ShortestPaths]:
     """(ranked paths, explanations, search): find, then rank, then explain. Pairs without a path give no rows."""
-    found = shortest_paths(edges, pairs, rule=rule, max_depth=max_depth, max_paths=max_paths, alternate=True)
+    found = shortest_paths(edges, pairs, rule=rule, max_depth=max_depth, max_paths=max_paths)
     ranked = rank_paths(path_profile(tables, found.paths))
-    return ranked, explain(tables, ranked, found.trace), found
+    return ranked, explain(tables, ranked, found.expansions), found

@@ -248,11 +248,19 @@ def path_rank(spark, sf_dir):
     return rank_paths(profile(t, found.paths)).select("pair_id", path_text(F.col("steps")).alias("steps"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
-def path_explain(spark, sf_dir):
+def _explained(spark, sf_dir) -> DataFrame:
     t = _tables(spark, sf_dir)
-    found = search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(predicate="Is a"), max_depth=PAIR_DEPTH, max_paths=MAX_PATHS, alternate=True)
-    told = explain(t, found.paths, found.trace)
-    return told.select("pair_id", F.col("path_no").cast("long").alias("path_no"), F.col("step_no").cast("long").alias("step_no"), "subject", "predicate", "object", F.col("traversal_depth").cast("long").alias("traversal_depth"), "kind", "reason")
+    found = search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(predicate="Is a"), max_depth=PAIR_DEPTH, max_paths=MAX_PATHS)
+    return explain(t, found.paths, found.expansions).select("pair_id", F.col("path_no").cast("long").alias("path_no"), F.col("step_no").cast("long").alias("step_no"), "subject", "predicate", "object", F.col("traversal_depth").cast("long").alias("traversal_depth"), "kind", "reason")
+
+
+def path_explain(spark, sf_dir):
+    return _explained(spark, sf_dir).drop("traversal_depth")
+
+
+def path_explain_depth(spark, sf_dir):
+    """How many steps the search from the source explains, by depth; it depends on how the two searches share the work."""
+    return _explained(spark, sf_dir).groupBy("traversal_depth").agg(F.count(F.lit(1)).alias("n_steps"))
 
 
 def ranked_paths(spark, sf_dir):
@@ -362,7 +370,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         concept_view_batch, concept_by_code, concept_synonyms, predicate_row, predicate_kind, predicate_reverse, edges_out, edges_in, edges_batch, edges_active_on_date, edges_by_kind, edges_same_domain, edges_cross_domain, parents, children, ancestors, roots, roots_domain, leaves, singletons,
-        label_exact, label_fuzzy, synonym_exact, synonym_fuzzy, label_ids_raw, label_rank, traverse_nodes, traverse_edges, traverse_on_date, traverse_max_nodes, traverse_trace, shortest_path_length, shortest_paths, shortest_paths_capped, shortest_paths_parallel, path_profile, path_rank, path_explain, ranked_paths,
+        label_exact, label_fuzzy, synonym_exact, synonym_fuzzy, label_ids_raw, label_rank, traverse_nodes, traverse_edges, traverse_on_date, traverse_max_nodes, traverse_trace, shortest_path_length, shortest_paths, shortest_paths_capped, shortest_paths_parallel, path_profile, path_rank, path_explain, path_explain_depth, ranked_paths,
         resolve_exact, resolve_partial_topk, resolve_pipeline, ground_terms, standardise_ids, parent_search, subsumes_closure, common_parents, relate_groups, greedy_cover_first, greedy_cover, render_path_text, render_path_mermaid, render_subgraph_text,
     )
 }

@@ -112,9 +112,6 @@ stats AS (SELECT cov.g AS group_id, cov.parent AS parent_id, coverage, coalesce(
   FROM cov LEFT JOIN pol USING (g, parent) JOIN sizes USING (g))"""
 _SCORE = "CAST(coverage AS DOUBLE) * purity / (pow(1 + pollution, 0.3) * pow(1 + max_depth, 0.7))"
 
-#: each step's subject, expanded by the search from the source when its place lies in the first half
-_TURN = "CASE WHEN no - 1 < (len_ + 1) // 2 THEN no - 1 END"
-
 _GROUND = f"""{_ALL}, isa AS (SELECT DISTINCT s, p, o FROM same WHERE p = 'Is a'),
 hits AS (SELECT lower(concept_name) AS term, concept_id FROM c WHERE concept_name IS NOT NULL AND trim(regexp_replace(lower(concept_name), '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) = lower(concept_name)),
 tops AS (SELECT concept_id AS top FROM c WHERE vocabulary_id = 'CORE'),
@@ -168,8 +165,7 @@ ORACLE = {
     "shortest_paths_parallel": f"{_PARALLEL} SELECT pair_id, path_no, steps FROM numbered WHERE path_no <= {MAX_PATHS}",
     "path_profile": f"{_SEARCH} {_PROFILE} SELECT pair_id, steps, {_COUNTERS} FROM prof",
     "path_rank": f"{_SEARCH} {_PROFILE} SELECT pair_id, steps, {_RANKED} AS rank_no FROM prof",
-    "path_explain": f"""{_SEARCH} {_STEPS}, sized AS (SELECT *, max(no) OVER (PARTITION BY pair_id, path_no) AS len_ FROM parts)
-      SELECT pair_id, path_no, no AS step_no, sized.s AS subject, sized.p AS predicate, sized.o AS object, {_TURN} AS traversal_depth, kind, {_REASON} AS reason FROM sized LEFT JOIN k ON k.p = sized.p""",
+    "path_explain": f"{_SEARCH} {_STEPS} SELECT pair_id, path_no, no AS step_no, parts.s AS subject, parts.p AS predicate, parts.o AS object, kind, {_REASON} AS reason FROM parts LEFT JOIN k ON k.p = parts.p",
     "ranked_paths": f"{_BACK} {_PROFILE} SELECT pair_id, {_RANKED} AS rank_no, steps, {_COUNTERS} FROM prof",
     "resolve_exact": f"{_ALL} SELECT term_id, concept_id, row_number() OVER (PARTITION BY term_id ORDER BY concept_id, label) AS hit_no FROM entries JOIN names ON lower(label) = norm",
     "resolve_partial_topk": f"{_ALL}, met AS (SELECT text AS term_id, concept_id, {_PARTIAL} FROM first JOIN names ON lower(label) LIKE concat('%', norm, '%')) SELECT * FROM met WHERE hit_no <= {TOP}",

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -31,7 +32,6 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -46,10 +46,19 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """``cut``, and aggregates over the rows, which come with the write."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+        return out, seen.get
+
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        out, seen = self.measured(df, name, n=F.count(F.lit(1)))
+        return out, seen["n"]
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             path = getattr(frame, "_scratch_path", None)
