@@ -90,7 +90,7 @@ class Rules:
     cover: int = 12
     chain: int = 13
     run: int = 20
-    clear: float = 0.82
+    clear: float = 0.88
 
 
 def page_tokens(lines: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -192,10 +192,10 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, plac
                 np.copyto(read, source[2][cut] + count, where=better)
                 np.copyto(origin, source[3][cut], where=better)
 
-        step = np.where(e, 1.0, -1.0)
+        step = np.where(e, 1.0, -2.0)
         offer(prev, 1, step, hit)
-        offer(prev, 2, step - 0.8, hit)  # a stray token between
-        offer(prev, 0, -1.2, 0)  # a word that isn't there
+        offer(prev, 2, step - 1.0, hit)  # a stray token between
+        offer(prev, 0, -2.0, 0)  # a word that isn't there
         if halves[i].any():
             offer(prev, 2, np.where(halves[i], 1.0, low), 1)
         if glued[i].any():
