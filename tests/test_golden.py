@@ -151,3 +151,18 @@ def test_rendering(graph):
 
 def test_edge_filter_defaults():
     assert EdgeFilter() == EdgeFilter(None, None, True, None, True) and E.kinds_tuple([]) is None
+
+
+def test_single_results(graph):
+    import vocabgraph
+
+    assert vocabgraph.KnowledgeGraph is KnowledgeGraph and vocabgraph.PredicateKind.MAPPING.label().startswith("mapping")
+    assert ids(graph.find_shortest_paths(4, 1, predicate_kinds=[vocabgraph.PredicateKind.ONTOLOGICAL])[0]) == [[4, 2, 1], [4, 3, 1]]
+    pipeline = ResolverPipeline([ExactLabelResolver(), ExactSynonymResolver()])
+    assert [(h.concept_id, h.resolver) for h in graph.resolve("syn four", pipeline)] == [(4, "exact_synonym")]
+    found = graph.ground_term("c4", constraints=GroundingConstraints((1,)), resolver_pipeline=pipeline)
+    assert [(c.concept_id, c.best_path_profile.hops, len(c.paths)) for c in found] == [(4, 2, 2)]
+    assert graph.standardise_ids([6, 5]) == {6: 4, 5: 5} and graph.parent_search(4) == {2, 3} and graph.descendants(1, [3]) == {2, 3, 4}
+    parents = graph.find_common_parents([4, 5])
+    assert parents[3].found == {4, 5} and parents[1].descendants == {2, 3, 4, 5}
+    assert graph.greedy_parent_cover([4, 5], parents) == [3] and graph.relate_groups(parents)[0] == {"type": "subsumed_by", "from": 1, "to": 3, "overlap": 2}

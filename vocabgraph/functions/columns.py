@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from enum import StrEnum
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,17 @@ KIND_LABELS = {
 }
 
 
+class PredicateKind(StrEnum):
+    ONTOLOGICAL = ONTOLOGICAL
+    ATTRIBUTE = ATTRIBUTE
+    MAPPING = MAPPING
+    VERSIONING = VERSIONING
+    METADATA = METADATA
+
+    def label(self) -> str:
+        return KIND_LABELS[self.value]
+
+
 def predicate_kind(name: Column, hierarchical: Column, ancestry: Column) -> Column:
     """The kind of a predicate by its flags, else by its name; a null name is METADATA."""
     low = F.lower(name)

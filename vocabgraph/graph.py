@@ -9,12 +9,15 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import ConceptView, EdgeView, GraphPath, GraphTrace, LabelMatch, PathExplanation, PathExplanationStep, PathProfile, PathStep, Predicate, Subgraph, TraceStep
+from .model import CandidateHit, ConceptView, EdgeView, GraphPath, GraphTrace, GroundingCandidate, LabelMatch, ParentStatistics, PathExplanation, PathExplanationStep, PathProfile, PathStep, Predicate, Subgraph, TraceStep
 from .operators import edges as E
 from .operators import hierarchy as H
 from .operators import labels as L
 from .operators import lookup as K
+from .operators import phenotype as P
+from .operators.grounding import GroundingConstraints, ground_terms
 from .operators.paths import ShortestPaths, shortest_paths
+from .operators.resolvers import ResolverPipeline
 from .operators.scoring import COUNTERS, explain, path_profile, rank_paths
 from .operators.traverse import Traversal, traverse
 from .sources.tables import CONCEPT, VocabularyTables
@@ -198,3 +201,47 @@ class KnowledgeGraph:
     def rank_paths(self, paths: list[GraphPath]) -> list[tuple[GraphPath, PathProfile]]:
         """Stable: ties keep their order."""
         return sorted(((p, self.path_profile(p)) for p in paths), key=lambda x: x[1].path_rank())
+
+    # reasoning
+    def resolve(self, text: str, pipeline: ResolverPipeline, *, limit_per_resolver: int | None = None) -> list[CandidateHit]:
+        rows = pipeline.resolve(self.tables, self._term(text), limit=limit_per_resolver).orderBy("hit_no").collect()
+        return [CandidateHit(r.concept_id, r.resolver) for r in rows]
+
+    def ground_term(self, text: str, *, constraints: GroundingConstraints, resolver_pipeline: ResolverPipeline) -> list[GroundingCandidate]:
+        rows = ground_terms(self.tables, self.edges, self._term(text), resolver_pipeline, constraints).orderBy("rank_no").collect()
+        path = lambda steps: GraphPath(tuple(PathStep(s.subject, s.predicate, s.object) for s in steps))
+        return [GroundingCandidate(r.concept_id, r.label, PathProfile(*[r[c] for c in COUNTERS]), tuple(map(path, r.paths))) for r in rows]
+
+    def standardise_ids(self, ids: Iterable[int]) -> dict[int, int]:
+        return {r.concept_id: r.standard_id for r in P.standardise_ids(self.edges, self._ids(ids)).collect()}
+
+    def parent_search(self, concept_id: int) -> set[int]:
+        return {r.parent_id for r in P.parent_search(self.edges, self._ids([concept_id])).collect()}
+
+    def descendants(self, root_id: int, exclude_roots: Iterable[int] = ()) -> set[int]:
+        """The 'Subsumes' closure of one root, not passing ``exclude_roots``."""
+        root = self.spark.createDataFrame([(0, int(root_id))], "group_id bigint, root bigint")
+        barriers = self.spark.createDataFrame([(0, int(i)) for i in exclude_roots], "group_id bigint, node bigint")
+        return {r.node for r in P.subsumes_closure(self.edges, root, barriers).collect()}
+
+    def _seeds(self, seeds: Iterable[int]) -> DataFrame:
+        return self.spark.createDataFrame([(0, int(s)) for s in seeds], "group_id bigint, concept_id bigint")
+
+    def find_common_parents(self, seeds: Iterable[int], *, min_coverage: int = 2, max_up_depth: int | None = None, standardise_seeds: bool = False) -> dict[int, ParentStatistics]:
+        found = P.common_parents(self.edges, self._seeds(seeds), min_coverage=min_coverage, max_up_depth=max_up_depth, standardise_seeds=standardise_seeds)
+        gather = lambda df, column: {r.parent_id: frozenset(r.x) for r in df.groupBy("parent_id").agg(F.collect_set(column).alias("x")).collect()}
+        below, met = gather(found.descendants, "node"), gather(found.found, "origin")
+        return {r.parent_id: ParentStatistics(below[r.parent_id], met[r.parent_id], r.coverage, r.pollution, r.purity, r.completeness, r.max_depth) for r in found.stats.collect()}
+
+    def _parents_frame(self, candidates: dict[int, ParentStatistics]) -> P.CommonParents:
+        stats = [(0, i, c.coverage, c.pollution, c.purity, c.completeness, c.max_depth) for i, c in candidates.items()]
+        pairs = lambda field: self.spark.createDataFrame([(0, i, n) for i, c in candidates.items() for n in getattr(c, field)], f"group_id bigint, parent_id bigint, {'origin' if field == 'found' else 'node'} bigint")
+        return P.CommonParents(self.spark.createDataFrame(stats, "group_id bigint, parent_id bigint, coverage bigint, pollution bigint, purity double, completeness double, max_depth int"), pairs("found"), pairs("descendants"))
+
+    def greedy_parent_cover(self, seeds: Iterable[int], candidates: dict[int, ParentStatistics], *, target_coverage_ratio: float = 1.0, alpha: float = 1.0, beta: float = 1.0, gamma: float = 0.3, delta: float = 0.7, min_gain: int = 1) -> list[int]:
+        picks = P.greedy_cover(self._seeds(seeds), self._parents_frame(candidates), target_ratio=target_coverage_ratio, alpha=alpha, beta=beta, gamma=gamma, delta=delta, min_gain=min_gain)
+        return [r.parent_id for r in picks.orderBy("pick_no").collect()]
+
+    def relate_groups(self, candidates: dict[int, ParentStatistics]) -> list[dict]:
+        rows = P.relate_groups(self._parents_frame(candidates)).orderBy("from_id", "to_id").collect()
+        return [{"type": r.type, "from": r.from_id, "to": r.to_id, "overlap": r.overlap} for r in rows]

@@ -121,3 +121,30 @@ class PathExplanation:
     path: GraphPath
     profile: PathProfile
     steps: tuple[PathExplanationStep, ...]
+
+
+@dataclass(frozen=True)
+class CandidateHit:
+    concept_id: int
+    resolver: str
+
+
+@dataclass(frozen=True)
+class GroundingCandidate:
+    concept_id: int
+    label: str | None
+    best_path_profile: PathProfile
+    paths: tuple[GraphPath, ...]
+
+
+@dataclass(frozen=True)
+class ParentStatistics:
+    """``descendants`` and ``found`` are held on the driver: for large groups use the frames of ``common_parents``."""
+
+    descendants: frozenset[int]
+    found: frozenset[int]
+    coverage: int
+    pollution: int
+    purity: float
+    completeness: float
+    max_depth: int

@@ -66,7 +66,7 @@ class EdgeFilter:
 
 
 def kinds_tuple(kinds: Iterable[str] | None) -> tuple[str, ...] | None:
-    return tuple(sorted(kinds)) if kinds else None
+    return tuple(sorted(str(k) for k in kinds)) if kinds else None
 
 
 def iter_edges(edges: DataFrame, nodes: DataFrame, rule: EdgeFilter, *, direction: str = "out", strict: bool = False) -> DataFrame:
