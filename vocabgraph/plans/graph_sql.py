@@ -190,6 +190,17 @@ ORACLE = {
       both_ AS (SELECT x.g, x.parent AS a, y.parent AS b, count(*) AS n FROM own x JOIN own y ON x.g = y.g AND x.origin = y.origin AND x.parent <> y.parent GROUP BY ALL)
       SELECT both_.g AS group_id, a AS from_id, b AS to_id, 'subsumed_by' AS type, n AS overlap FROM both_ JOIN cov ON cov.g = both_.g AND cov.parent = a WHERE n = coverage""",
     "greedy_cover_first": f"{_GROUPS} SELECT group_id, parent_id, coverage AS gain, round(score, 6) AS score FROM (SELECT *, {_SCORE} AS score, row_number() OVER (PARTITION BY group_id ORDER BY {_SCORE} DESC, parent_id) AS rn FROM stats) WHERE rn = 1",
+    "greedy_cover": f"""{_GROUPS}, own AS (SELECT f.g, f.parent, f.origin FROM facts f JOIN cov USING (g, parent) GROUP BY ALL),
+      lists AS (SELECT g, parent, list(origin) AS found FROM own GROUP BY ALL),
+      pick(g, pick_no, parent, gain, score, remaining) AS (
+        SELECT g, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), list(id) FROM seeds GROUP BY g
+        UNION ALL SELECT g, pick_no, parent, gain, score, remaining FROM (
+          SELECT x.*, row_number() OVER (PARTITION BY g ORDER BY score DESC, parent) AS rn FROM (
+            SELECT p.g, p.pick_no + 1 AS pick_no, l.parent, CAST(len(list_intersect(l.found, p.remaining)) AS BIGINT) AS gain,
+              len(list_intersect(l.found, p.remaining)) * purity / (pow(1 + pollution, 0.3) * pow(1 + max_depth, 0.7)) AS score, list_filter(p.remaining, lambda x: NOT list_contains(l.found, x)) AS remaining
+            FROM pick p JOIN lists l ON l.g = p.g JOIN stats s ON s.group_id = p.g AND s.parent_id = l.parent JOIN sizes n ON n.g = p.g
+            WHERE (n.n - len(p.remaining)) * 1.0 / n.n < 0.5) x WHERE gain >= 1) WHERE rn = 1)
+      SELECT g AS group_id, pick_no, parent AS parent_id, gain, round(score, 6) AS score FROM pick WHERE pick_no > 0""",
     "render_path_text": f"{_SEARCH} {_STEPS} SELECT pair_id, string_agg(concat(coalesce(x.concept_name, ''), ' --[', parts.p, ']--> ', coalesce(y.concept_name, '')), chr(10) ORDER BY no) AS rendered FROM parts JOIN c x ON x.concept_id = parts.s JOIN c y ON y.concept_id = parts.o WHERE path_no = 1 GROUP BY pair_id",
     "render_path_mermaid": f"""{_SEARCH} {_STEPS} SELECT pair_id, concat('graph LR', chr(10), string_agg(concat(parts.s, '["', replace(coalesce(x.concept_name, ''), '"', '#quot;'), '"] -->|', parts.p, '| ', parts.o, '["', replace(coalesce(y.concept_name, ''), '"', '#quot;'), '"]'), chr(10) ORDER BY no)) AS rendered
       FROM parts JOIN c x ON x.concept_id = parts.s JOIN c y ON y.concept_id = parts.o WHERE path_no = 1 GROUP BY pair_id""",

@@ -116,6 +116,19 @@ ORACLE = {
     differ AS (SELECT node FROM (SELECT * FROM real EXCEPT SELECT * FROM said) UNION SELECT node FROM (SELECT * FROM said EXCEPT SELECT * FROM real))
     SELECT node AS concept_id, 'cycle' AS finding FROM reach WHERE node = top
     UNION SELECT node, 'level' FROM differ WHERE node IN (SELECT concept_id FROM concept)""",
+    "p5_hierarchy": _REACH
+    + """, proper AS (SELECT * FROM links WHERE child <> parent),
+    nodes AS (SELECT child AS node FROM links UNION SELECT parent FROM links),
+    cyclic AS (SELECT node FROM reach WHERE node = top),
+    tops AS (SELECT node FROM nodes WHERE node NOT IN (SELECT child FROM proper) AND node NOT IN (SELECT node FROM cyclic)),
+    down(node, depth) AS (SELECT node, 0 FROM tops UNION SELECT p.child, d.depth + 1 FROM down d JOIN proper p ON p.parent = d.node WHERE d.depth < 60),
+    placed AS (SELECT node, min(depth) AS depth FROM down GROUP BY node),
+    chosen AS (SELECT child, parent FROM (SELECT p.child, p.parent, row_number() OVER (PARTITION BY p.child ORDER BY d.depth, p.parent) AS rn FROM proper p JOIN placed d ON d.node = p.parent) WHERE rn = 1),
+    paths(node, root, path) AS (SELECT node, node, CAST(node AS VARCHAR) FROM tops UNION ALL SELECT c.child, p.root, concat(p.path, '/', c.child) FROM paths p JOIN chosen c ON c.parent = p.node),
+    below AS (SELECT top AS node, count(*) AS n FROM reach WHERE node <> top GROUP BY top)
+    SELECT n.node AS concept_id, CASE WHEN c.node IS NULL THEN CAST(d.depth AS BIGINT) END AS depth, CASE WHEN c.node IS NULL THEN p.root END AS root_id, CASE WHEN c.node IS NULL THEN p.path END AS path,
+      coalesce(b.n, 0) AS n_descendants, c.node IS NOT NULL AS on_cycle
+    FROM nodes n LEFT JOIN placed d ON d.node = n.node LEFT JOIN paths p ON p.node = n.node LEFT JOIN below b ON b.node = n.node LEFT JOIN cyclic c ON c.node = n.node""",
     "p6_found": f"""
     SELECT 'concept_relationship' AS origin_table, concept_id_1 AS concept_id FROM concept_relationship WHERE concept_id_1 IS NOT NULL
       GROUP BY concept_id_1 HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_relationship)
