@@ -109,6 +109,11 @@ def test_hierarchy_of_nothing_and_of_loops(spark):
     ring = spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long")
     assert {(r.node, r.on_cycle, r.depth) for r in hierarchy(ring).collect()} == {(1, True, None), (2, True, None)}
     assert {tuple(r) for r in closure_findings(ring, said, node).collect()} == {(1, "cycle"), (1, "level")}
+    # a ring below a top, a chain below the ring, and a chain below a ring without a top
+    mixed = spark.createDataFrame([(1, 2), (2, 1), (1, 9), (3, 1), (4, 3), (11, 12), (12, 11), (13, 12), (14, 13)], "child long, parent long")
+    rows = {r.node: (r.depth, r.path, r.n_descendants, r.on_cycle) for r in hierarchy(mixed).collect()}
+    assert rows[9] == (0, [9], 4, False) and rows[4] == (3, [9, 1, 3, 4], 0, False) and rows[3] == (2, [9, 1, 3], 1, False)
+    assert rows[1] == rows[2] == (None, None, 3, True) and rows[14] == (None, None, 0, False) and rows[12][3]
 
 
 def test_heavy_keys_and_profiles(spark):

@@ -137,7 +137,8 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
     on a cycle, and nodes all of whose upward ways end in one, have null depth, root and path. Links of a node to itself
     count as cycles only. Rows with a null end are dropped, repeats count once; an empty table gives no rows.
     """
-    scratch = Scratch(links.sparkSession, "hierarchy")
+    spark = links.sparkSession
+    scratch = Scratch(spark, "hierarchy")
     peeled = peel(links, scratch, child=child, parent=parent)
     ways, selves = descendants(peeled, scratch)
     cyclic = scratch.cut(selves.unionByName(peeled.loops).distinct(), "cyclic")
@@ -146,24 +147,36 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
     nodes = edges.select(F.col("child").alias("node"), F.col("child_height").alias("height")).unionByName(edges.select("parent", "parent_height").toDF("node", "height")).unionByName(peeled.loops.withColumn("height", F.lit(None).cast("int")))
     nodes = scratch.cut(nodes.groupBy("node").agg(F.max("height").alias("height")), "nodes")
     tops = nodes.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti").join(cyclic, "node", "left_anti")
-    placed = scratch.cut(tops.select("node", F.lit(0).alias("depth"), F.col("node").alias("root"), F.array("node").alias("path")), "placed")
-    every = placed
-    # reverse peel order: parents above a height are complete before it is reached; stuck nodes come first, breadth first
-    stuck_edges = edges.where("child_height IS NULL")
-    frontier = placed
-    while peeled.stuck:
-        step = frontier.join(stuck_edges.select(F.col("parent").alias("node"), "child"), "node").groupBy("child").agg(F.min(F.struct("depth", "node", "root", "path")).alias("best"))
-        step = step.select(F.col("child").alias("node"), (F.col("best.depth") + 1).alias("depth"), F.col("best.root").alias("root"), F.concat("best.path", F.array("child")).alias("path"))
-        frontier = scratch.cut(step.join(every, "node", "left_anti"), "stuck")
-        if frontier.isEmpty():
-            break
-        every = every.unionByName(frontier)
-    levels = [r[0] for r in edges.where("child_height IS NOT NULL").select("child_height").distinct().orderBy(F.desc("child_height")).collect()]  # one row per height
-    for height in levels:
-        own = edges.where(F.col("child_height") == height).select("child", F.col("parent").alias("node"))
-        best = own.join(every, "node").groupBy("child").agg(F.min(F.struct("depth", "node", "root", "path")).alias("best"))
-        step = best.select(F.col("child").alias("node"), (F.col("best.depth") + 1).alias("depth"), F.col("best.root").alias("root"), F.concat("best.path", F.array("child")).alias("path"))
-        every = every.unionByName(scratch.cut(step, "level"))
+    placed = scratch.cut(tops.select("node", F.lit(0).alias("depth"), F.col("node").alias("root"), F.array("node").alias("path"), "height"), "placed")
+    # down the links: a placed node offers its place to its children; an offer is written once, into the box of the child's height
+    down = scratch.cut(edges.select("child", F.col("parent").alias("node"), F.coalesce("child_height", F.lit(-1)).alias("at"), F.coalesce("parent_height", F.lit(-1)).alias("parent_height")), "down", ["parent_height"])
+    place = scratch.path("offers")
+    kind = edges.schema["child"].dataType.simpleString()
+    offer = f"child {kind}, depth int, node {kind}, root {kind}, path array<{kind}>"
+
+    def send(rows: DataFrame, links: DataFrame) -> None:
+        rows.join(links, "node").select("child", "depth", "node", "root", "path", "at").write.mode("append").partitionBy("at").parquet(place)
+
+    def best(offers: DataFrame) -> DataFrame:
+        won = offers.groupBy("child").agg(F.min(F.struct("depth", "node", "root", "path")).alias("b"))
+        return won.select(F.col("child").alias("node"), (F.col("b.depth") + 1).alias("depth"), F.col("b.root").alias("root"), F.concat("b.path", F.array("child")).alias("path"))
+
+    stuck_placed = placed.where("height IS NULL").drop("height")
+    if peeled.stuck:  # breadth first: unpeeled nodes have no order of their own
+        inner = down.where("parent_height = -1 AND at = -1").select("node", "child")
+        frontier = stuck_placed
+        while True:
+            step = best(frontier.join(inner, "node").select("child", "depth", "node", "root", "path"))
+            frontier = scratch.cut(step.join(stuck_placed.select("node"), "node", "left_anti"), "stuck")
+            if frontier.isEmpty():
+                break
+            stuck_placed = stuck_placed.unionByName(frontier)
+    send(stuck_placed, down.where("parent_height = -1 AND at >= 0").drop("parent_height"))
+    send(placed.where("height IS NOT NULL"), down.where("parent_height >= 0").drop("parent_height"))
+    # reverse peel order: a node's parents are all higher, so its box is complete when its height comes
+    for height in range(peeled.heights, 0, -1):
+        send(best(spark.read.schema(offer + ", at int").parquet(place).where(F.col("at") == height).drop("at")), down.where(F.col("parent_height") == height).drop("parent_height"))
+    every = placed.drop("height").unionByName(stuck_placed.join(placed.select("node"), "node", "left_anti")).unionByName(best(spark.read.schema(offer + ", at int").parquet(place).drop("at")))
     on_cycle = cyclic.withColumn("on_cycle", F.lit(True))
     out = nodes.select("node").join(every, "node", "left").join(sizes, "node", "left").join(on_cycle, "node", "left")
     plain = F.col("on_cycle").isNull()
