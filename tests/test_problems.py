@@ -16,8 +16,9 @@ def at(day, hour=0, month=1):
     return datetime(2022, month, day, hour)
 
 
-@pytest.mark.parametrize("encode", ["identity", "dictionary"])
-def test_orphans(spark, encode):
+@pytest.mark.parametrize("encode,dense", [("identity", 0), ("identity", 1000), ("dictionary", 0), ("dictionary", 1000)])
+def test_orphans(spark, encode, dense, monkeypatch):
+    monkeypatch.setattr("vocabgraph.operators.orphans.DENSE", dense)
     rng = random.Random(3)
     ids = [-5, 0, 7, 40_000, 70_000, 10**12]
     parents = [(rng.choice(ids), at(rng.randrange(1, 28), rng.randrange(24), rng.randrange(1, 4)), rng.choice([None, "D", "U"]), "x") for _ in range(14)] + [(None, at(1), None, "x"), (99, None, None, "x")]

@@ -1,11 +1,11 @@
-"""References to records that do not exist, found with bitmaps per key range and period.
-
-A key is encoded as an integer: integral keys stand for themselves, other keys (or integral keys spread so thinly that
-bitmaps would be nearly empty) get codes from a dictionary. The high bits of a code name its key range, the low 15 bits
-the position in the range's bitmap. References and parents become one bitmap per range and period, built with partial
-aggregation in the JVM; one group per range then computes ``references AND NOT parents delivered in time``. The group's
-size is bounded by ranges x periods, not by rows, so a hot key costs one bit. The bits that survive are decoded, and only
-they are compared row by row to name the reason.
+"""References to records that do not exist, found with compressed bitmaps per key range and period.
+
+A key is encoded as an integer: integral keys stand for themselves, other keys get codes from a dictionary. The high bits of
+a code name its key range, the low 15 bits its position there. References and parents become one container per range and
+period, built with partial aggregation in the JVM: a bitmap of 4 KB, or, where a container would hold few bits, the array
+of its positions (what compressed bitmaps do for sparse ranges). One group per range then computes ``references AND NOT parents
+delivered in time``. A group's size is bounded by ranges x periods, not by rows, so a hot key costs one bit. The bits that
+survive are decoded, and only they are compared row by row to name the reason.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 RANGE_BITS = 15  # bitmap_construct_agg holds 2^15 bits
+DENSE = 1_000  # from so many rows a container on, a bitmap is smaller than the array of positions
 
 
 @dataclass(frozen=True)
@@ -47,33 +48,45 @@ def dictionary(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(coded, "dictionary")
 
 
-def _bitmaps(coded: DataFrame, group: list[str], at: str, edge) -> DataFrame:
+def _containers(coded: DataFrame, group: list[str], at: str, edge) -> DataFrame:
+    """(group, key_range, bits, places, edge): bits is a bitmap, or null where places is the array of positions instead."""
     split = coded.select(*group, at, F.shiftright("code", RANGE_BITS).alias("key_range"), F.col("code").bitwiseAND((1 << RANGE_BITS) - 1).alias("bit"))
-    return split.groupBy(*group, "key_range").agg(F.bitmap_construct_agg("bit").alias("bits"), edge(at).alias("edge"))
+    size = split.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key_range").alias("ranges"), *[F.approx_count_distinct(c).alias(f"_{c}") for c in group]).first()
+    slots = 1
+    for v in size[1:]:
+        slots *= max(1, v)
+    by = split.groupBy(*group, "key_range")
+    if size["n"] / slots >= DENSE:
+        return by.agg(F.bitmap_construct_agg("bit").alias("bits"), F.lit(None).cast("array<int>").alias("places"), edge(at).alias("edge"))
+    return by.agg(F.lit(None).cast("binary").alias("bits"), F.collect_set(F.col("bit").cast("int")).alias("places"), edge(at).alias("edge"))
+
+
+def _positions(bits: bytes | None, places) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) if places is None else np.asarray(places, np.int64)
 
 
 def _not_covered(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
-    """One key range: bits of each reference bitmap without a parent delivered up to it."""
+    """One key range: positions of each reference container without a parent delivered up to it."""
     found = [pd.DataFrame({"origin_table": pd.Series(dtype=object), "ref_field": pd.Series(dtype=object), "period": pd.Series(dtype=object), "code": pd.Series(dtype=np.int64)})]
     if refs.empty:
         return found[0]
     low = int(key[0]) << RANGE_BITS
-    nbytes = 1 << (RANGE_BITS - 3)
     parents = parents.sort_values("period", kind="stable", na_position="first")
-    stack = [(p, e, np.frombuffer(b, np.uint8)) for p, e, b in zip(parents["period"], parents["edge"], parents["bits"])]
-    at, covered = 0, np.zeros(nbytes, np.uint8)
+    stack = [(p, e, _positions(b, x)) for p, e, b, x in zip(parents["period"], parents["edge"], parents["bits"], parents["places"])]
+    at, covered = 0, np.zeros(1 << RANGE_BITS, bool)
     for period, own in refs.sort_values("period", kind="stable").groupby("period", sort=True):
         while at < len(stack) and (pd.isna(stack[at][0]) or stack[at][0] < period):
-            covered = covered | stack[at][2]
+            covered[stack[at][2]] = True
             at += 1
-        for table, field, first, bits in zip(own["origin_table"], own["ref_field"], own["edge"], own["bits"]):
-            good = covered
-            if at < len(stack) and stack[at][0] == period and stack[at][1] <= first:
-                good = covered | stack[at][2]
-            left = np.frombuffer(bits, np.uint8) & ~good
-            if left.any():
-                codes = low + np.flatnonzero(np.unpackbits(left, bitorder="little"))
-                found.append(pd.DataFrame({"origin_table": table, "ref_field": field, "period": period, "code": codes.astype(np.int64)}))
+        for table, field, first, bits, places in zip(own["origin_table"], own["ref_field"], own["edge"], own["bits"], own["places"]):
+            asked = _positions(bits, places)
+            left = asked[~covered[asked]]
+            if len(left) and at < len(stack) and stack[at][0] == period and stack[at][1] <= first:
+                today = np.zeros(1 << RANGE_BITS, bool)
+                today[stack[at][2]] = True
+                left = left[~today[left]]
+            if len(left):
+                found.append(pd.DataFrame({"origin_table": table, "ref_field": field, "period": period, "code": (low + left).astype(np.int64)}))
     return pd.concat(found[1:] or found, ignore_index=True)
 
 
@@ -103,9 +116,9 @@ def orphan_references(references: list[Reference], parent: DataFrame, key: str,
         coded_state = state.withColumn("code", F.col("key").cast("long"))
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("9999"))
     number = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ref_bits = _bitmaps(coded.withColumn("period", day("at")).withColumn("micros", F.coalesce(number("at"), F.lit(2**62))), ["origin_table", "ref_field", "period"], "micros", F.min)
+    ref_bits = _containers(coded.withColumn("period", day("at")).withColumn("micros", F.coalesce(number("at"), F.lit(2**62))), ["origin_table", "ref_field", "period"], "micros", F.min)
     alive = coded_state.where("NOT deleted").withColumn("period", F.date_format("first_at", "yyyy-MM-dd")).withColumn("micros", F.coalesce(number("first_at"), F.lit(-(2**62))))
-    parent_bits = _bitmaps(alive, ["period"], "micros", F.max)
+    parent_bits = _containers(alive, ["period"], "micros", F.max)
     left = ref_bits.groupBy("key_range").cogroup(parent_bits.groupBy("key_range")).applyInPandas(_not_covered, "origin_table string, ref_field string, period string, code bigint")
     left = left.join(codes, "code") if encode == "dictionary" else left.withColumn("key", F.col("code").cast(parent.schema[key].dataType))
     # every survivor is a case, or may be one within its day: the row's own time decides
