@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-SMALL_ROWS = 100_000  # a side with at most this many (id, id) rows may be broadcast
+SMALL_ROWS = 50_000  # a side with at most this many (id, id) rows may be broadcast
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -53,6 +53,7 @@ def peel(links: DataFrame, scratch: Scratch, *, child: str = "child", parent: st
         else:
             parents = left.select(F.col("parent").alias("child"))
             kept = left.join(_bounded(parents, alive) if alive <= SMALL_ROWS else parents.distinct(), "child", "left_semi").select("child", "parent")
+        scratch.tidy()
         seen = Observation()
         kept.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{place}/round={height}")
         remaining = seen.get["n"]
@@ -98,6 +99,7 @@ def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     box = ["node", "descendant", "distance"]
 
     def send(messages: DataFrame) -> None:
+        scratch.tidy()
         messages.select(*box, "at").write.mode("append").partitionBy("at").parquet(place)
 
     def inbox(height: int) -> DataFrame:
@@ -155,6 +157,7 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
     offer = f"child {kind}, depth int, node {kind}, root {kind}, path array<{kind}>"
 
     def send(rows: DataFrame, links: DataFrame) -> None:
+        scratch.tidy()
         rows.join(links, "node").select("child", "depth", "node", "root", "path", "at").write.mode("append").partitionBy("at").parquet(place)
 
     def best(offers: DataFrame) -> DataFrame:
