@@ -264,11 +264,11 @@ def path_explain_depth(spark, sf_dir):
 
 
 def ranked_paths(spark, sf_dir):
-    """Find, rank and explain, both hierarchy directions and mappings, between every 'Maps to' pair and back."""
+    """Find, rank and explain, both hierarchy directions and mappings, from the target of every 'Maps to' row back to its source."""
     t = _tables(spark, sf_dir)
     ends = t.concept_relationship.where("relationship_id = 'Maps to' AND concept_id_1 <> concept_id_2").select(F.col("concept_id_2").alias("source"), F.col("concept_id_1").alias("target")).distinct()
     rule = E.EdgeFilter(kinds=(ONTOLOGICAL, MAPPING), within_domain=False)
-    ranked, _, _ = ranked_paths_with_explanations(t, E.enriched_edges(t), ends.withColumn("pair_id", F.concat_ws(">", "source", "target")), rule=rule, max_depth=1)
+    ranked, _, _ = ranked_paths_with_explanations(t, E.enriched_edges(t), ends.withColumn("pair_id", F.concat_ws(">", "source", "target")), rule=rule, max_depth=PAIR_DEPTH)
     return ranked.select("pair_id", F.col("rank_no").cast("long").alias("rank_no"), path_text(F.col("steps")).alias("steps"), *COUNTERS)
 
 
