@@ -102,3 +102,31 @@ def test_frames(spark, max_words):
     kept = lines(prose(40, 5)) + lines(prose(40, 6))
     assert cut[1].split("\n") == kept and cut[4] == "" and cut[3] is None
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs, items, boxes=None).count() == 4
+
+
+def spoiled(words, every, seed):
+    return [prose(1, seed + i)[0] if i % every == every - 1 else w for i, w in enumerate(words)]
+
+
+def test_clean_stretch_of_a_bad_run():
+    long = prose(90, 31)
+
+    def found(page):
+        passages = Passages([(1, " ".join(long))], Rules())
+        return [(i, at) for i, _, _, at in passages.verify("\n".join(page), None, [1])]
+
+    for page in (long[:25] + spoiled(long[25:85], 4, 500), spoiled(long[:60], 4, 600) + long[60:85], spoiled(long[:32], 4, 700) + long[32:57] + spoiled(long[57:], 4, 800)):
+        assert [i for i, _ in found(lines(prose(40, 32) + page + prose(40, 33)))] == [1]
+    assert found(lines(spoiled(long, 4, 900))) == []
+
+
+def test_clean_copy_beside_a_near_copy():
+    long = prose(90, 41)
+    bad, clean, between = lines(spoiled(long, 4, 950), broken=False), lines(long[40:63], broken=False), lines(prose(200, 42), broken=False)
+    for page in (bad + between + clean, clean + between + bad, bad + clean, clean + bad):
+        passages = Passages([(1, " ".join(long))], Rules())
+        (_, run, seen, at), = passages.verify("\n".join(page), None, [1])
+        assert run >= 20 and seen >= 0.88 * run and {page.index(x) for x in clean[1:-1]} <= set(at)
+    both = lines(long[:30], broken=False) + between + lines(long[:30], broken=False)
+    (_, run, _, at), = Passages([(1, " ".join(long))], Rules()).verify("\n".join(both), None, [1])
+    assert run == 30 and set(at) == {*range(5), *range(len(both) - 5, len(both))}

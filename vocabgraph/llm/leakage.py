@@ -133,90 +133,188 @@ class Item:
         self.pairs = {a + b: i for i, (a, b) in enumerate(zip(self.words, self.words[1:]))}
 
 
-def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, places: tuple[int, int] | None = None, spots: tuple[int, int] | None = None) -> tuple[int, int, list[int]]:
-    """(passage words in the best run, how many of them are read on the page, lines of the page that hold them).
+#: how a cell of the alignment is reached
+_NEXT, _STRAY, _MISSING, _HALVES, _GLUED, _ENTER, _READ = 1, 2, 3, 4, 5, 6, 8
+
+
+def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rules: Rules | None = None, hits: list[tuple[int, int]] | None = None) -> tuple[int, int, list[int]]:
+    """(passage words in the best stretch, how many of them are read on the page, lines of the page that hold any stretch).
 
     A run follows the passage word by word. A word of the page may be misread (no match, at a cost), broken in two or
     glued to the next; between two lines of the page any number of lines may stand that don't belong to the article. Anything else ends
-    the run, so the same words in another order don't add up.
+    the run, so the same words in another order don't add up. A run may go on through badly read text, so each of its stretches is judged:
+    one of ``rules.run`` or more passage words, from a read word to a read word, of which the share ``rules.clear`` is read. With
+    ``hits`` (passage place, page place) only their neighbourhood is looked at.
     """
-    n, m = len(tokens), len(item.words)
-    if not n or not m:
+    rules = rules or Rules()
+    m = len(item.words)
+    if not len(tokens) or not m:
         return 0, 0, []
     lengths = np.bincount(line)
-    ends = pos >= lengths[line] - 2
-    low_row, high_row = (max(0, places[0] - AROUND), min(m, places[1] + AROUND)) if places else (0, m)
-    if spots:  # the rest of the page is out of the run's reach
-        cut = slice(max(0, spots[0] - 4 * AROUND), spots[1] + 4 * AROUND)
-        tokens, line, pos, ends = tokens[cut], line[cut], pos[cut], ends[cut]
-        n = len(tokens)
-    equal = np.zeros((m, n), bool)
-    halves = np.zeros((m, n), bool)  # passage word i is tokens j-1 and j
-    glued = np.zeros((m, n), bool)  # passage words i-1 and i are token j
-    hits: dict[str, list[int]] = {}
-    for j, t in enumerate(tokens):
-        own = hits.get(t)
-        if own is None:
-            own = hits[t] = sorted(set().union(*(item.near[x] for x in _near(t) if x in item.near)))
-        for i in own:
-            equal[i, j] = True
-        if j and (joined := tokens[j - 1] + t) in item.near:
-            for i in item.near[joined]:
-                halves[i, j] = True
-        if (i := item.pairs.get(t)) is not None:
-            glued[i + 1, j] = True
-    starts = pos <= 1
+    low_row, high_row = (max(0, min(k for k, _ in hits) - AROUND), min(m, max(k for k, _ in hits) + AROUND)) if hits else (0, m)
+    at = _around([j for _, j in hits], len(tokens)) if hits else np.arange(len(tokens))  # -1: between two neighbourhoods
+    n, outside = len(at), at < 0
+    ends = (pos >= lengths[line] - 2)[at] & ~outside
+    starts = (pos <= 1)[at] & ~outside
+    equal: dict[int, list[int]] = defaultdict(list)
+    halves: dict[int, list[int]] = defaultdict(list)  # passage word i is tokens j-1 and j
+    glued: dict[int, list[int]] = defaultdict(list)  # passage words i-1 and i are token j
+    known: dict[str, list[int]] = {}
+    last = ""
+    for j, a in enumerate(at.tolist()):
+        t = tokens[a] if a >= 0 else ""
+        if t:
+            own = known.get(t)
+            if own is None:
+                own = known[t] = sorted(set().union(*(item.near[x] for x in _near(t) if x in item.near)))
+            for i in own:
+                equal[i].append(j)
+            if last and (joined := last + t) in item.near:
+                for i in item.near[joined]:
+                    halves[i].append(j)
+            if (i := item.pairs.get(t)) is not None:
+                glued[i + 1].append(j)
+        last = t
     gap = 2.5
     low = -1e9
-    # each state is four arrays (score, first passage word, words read, first token) with two cells before the page's first token
-    blank = (np.full(n + 2, low), *[np.zeros(n + 2, np.int64)] * 3)
+    # each state is two arrays (score, which of the last 64 passage words are read) with two cells before the first token
+    blank = (np.full(n + 2, low), np.zeros(n + 2, np.uint64))
     prev = prev2 = blank
     index = np.arange(n)
-    best = (0.0, 0, 0, 0, 0, 0)
+    moves: dict[int, np.ndarray] = {}
+    jumps: dict[int, np.ndarray] = {}
+    least = np.uint64(1 << (rules.run - 1) if rules.run <= 40 else 1)
+    met: list[tuple[np.ndarray, ...]] = []  # (passage word, token, score, words read) of cells that may end a stretch
     for i in range(low_row, high_row):
-        e = equal[i]
-        hit = e.astype(np.int64)
-        state = (np.full(n + 2, low), np.full(n + 2, i), np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64))
-        score, first, read, origin = (x[2:] for x in state)
+        e = np.zeros(n, bool)
+        e[equal.get(i, [])] = True
+        hit = e.astype(np.uint64)
+        state = (np.full(n + 2, low), np.zeros(n + 2, np.uint64))
+        score, read = (x[2:] for x in state)
+        move = np.zeros(n, np.int8)
         score[e] = 1.0
-        origin[:] = index
         read[:] = hit
 
-        def offer(source, k, gain, count):
+        def offer(source, k, gain, words, bits, code):
             cut = slice(2 - k, n + 2 - k)
             s = source[0][cut] + gain
             better = s > score
             if better.any():
                 np.copyto(score, s, where=better)
-                np.copyto(first, source[1][cut], where=better)
-                np.copyto(read, source[2][cut] + count, where=better)
-                np.copyto(origin, source[3][cut], where=better)
+                np.copyto(read, (source[1][cut] << np.uint64(words)) | bits, where=better)
+                move[better] = code
 
         step = np.where(e, 1.0, -2.0)
-        offer(prev, 1, step, hit)
-        offer(prev, 2, step - 1.0, hit)  # a stray token between
-        offer(prev, 0, -2.0, 0)  # a word that isn't there
-        if halves[i].any():
-            offer(prev, 2, np.where(halves[i], 1.0, low), 1)
-        if glued[i].any():
-            offer(prev2, 1, np.where(glued[i], 2.0, low), 2)
+        offer(prev, 1, step, 1, hit, _NEXT)
+        offer(prev, 2, step - 1.0, 1, hit, _STRAY)  # a stray token between
+        offer(prev, 0, -2.0, 1, np.uint64(0), _MISSING)  # a word that isn't there
+        for places, source, k, gain, words, bits, code in ((halves.get(i), prev, 2, 1.0, 1, 1, _HALVES), (glued.get(i), prev2, 1, 2.0, 2, 3, _GLUED)):
+            if places:
+                own = np.full(n, low)
+                own[places] = gain
+                offer(source, k, own, words, np.uint64(bits), code)
         enter = starts & e
         if enter.any():  # over lines that don't belong: from a line end to any later line start
             leave = np.where(ends, prev[0][2:], low)
             top = np.maximum.accumulate(leave)
-            where_top = np.maximum.accumulate(np.where(leave >= top, index, 0)) + 2
-            source = tuple(np.concatenate([b[:2], x]) for b, x in zip(blank, (top, prev[1][where_top], prev[2][where_top], prev[3][where_top])))
-            offer(source, 2, np.where(enter, 1.0 - gap, low), 1)
-        score[score <= 0] = low
-        j = int(score.argmax())
-        if score[j] > best[0]:
-            best = (float(score[j]), i - int(first[j]) + 1, int(read[j]), i, j, int(origin[j]))
+            where_top = np.maximum.accumulate(np.where(leave >= top, index, 0))
+            source = (np.concatenate([blank[0][:2], top]), np.concatenate([blank[1][:2], prev[1][2:][where_top]]))
+            offer(source, 2, np.where(enter, 1.0 - gap, low), 1, np.uint64(1), _ENTER)
+            jumps[i] = np.concatenate([[0, 0], where_top]).astype(np.int32)
+        score[(score <= 0) | outside] = low
+        move[e] |= _READ
+        moves[i] = move
+        cells = np.flatnonzero((score > 0) & (read >= least) & ((read & np.uint64(1)) == 1))
+        if len(cells):
+            met.append((np.full(len(cells), i), cells, score[cells], read[cells]))
         prev2, prev = prev, state
-    _, run, seen, last, end, start = best
-    own = equal[last - run + 1 : last + 1].any(axis=0)
-    own[:start] = own[end + 1 :] = False
-    share = np.bincount(line[own], minlength=len(lengths)) / np.maximum(lengths, 1)
-    return run, seen, np.flatnonzero(share >= 0.5).tolist()
+    if not met:
+        return 0, 0, []
+    rows, cells, scores, reads = (np.concatenate(x) for x in zip(*met))
+    if rules.run <= 40:  # a longer stretch holds one of up to 64 words; beyond, every path is followed
+        good = np.zeros(len(rows), bool)
+        for k in range(rules.run, 65):
+            window = reads & np.uint64((1 << k) - 1)
+            good |= (np.bitwise_count(window) >= rules.clear * k) & (window >> np.uint64(k - 1) == 1)
+        rows, cells, scores = rows[good], cells[good], scores[good]
+    best, used = (0, 0, 0), np.zeros(len(tokens), bool)
+    visited: set[tuple[int, int]] = set()
+    for x in np.argsort(-scores, kind="stable").tolist():
+        if (int(rows[x]), int(cells[x])) in visited:
+            continue
+        path = _path(moves, jumps, int(rows[x]), int(cells[x]), visited)
+        new = at[[j for _, js in path for j in js]]
+        if sum(p[0] for p in path) <= best[0] and (~used[new]).sum() < rules.clear * rules.run:
+            continue  # neither better nor anywhere else
+        for a, b in stretches(np.array([p[0] for p in path]), rules):
+            own = sorted({int(at[j]) for _, js in path[a:b] for j in js})
+            seen = sum(p[0] for p in path[a:b])
+            worth = (3 * seen - 2 * (b - a), b - a, seen)  # as scored: a word read, less two for one that isn't
+            if worth > best:
+                best = worth
+            if (~used[own]).sum() >= rules.clear * rules.run:  # not the stretch before by another way
+                used[own] = True
+    share = np.bincount(line[used], minlength=len(lengths)) / np.maximum(lengths, 1)
+    return best[1], best[2], np.flatnonzero(share >= 0.5).tolist()
+
+
+def _around(places: list[int], n: int) -> np.ndarray:
+    """Places up to 4 * AROUND from one of ``places``, in order; two cells of -1 where some are left out, so that no step leads across."""
+    near = np.zeros(n + 1, np.int64)
+    for j in places:
+        near[max(0, j - 4 * AROUND)] += 1
+        near[min(n, j + 4 * AROUND)] -= 1
+    kept = np.flatnonzero(np.cumsum(near[:n]) > 0)
+    breaks = np.flatnonzero(np.diff(kept) > 1) + 1
+    return np.insert(kept, np.repeat(breaks, 2), -1)
+
+
+def _path(moves: dict[int, np.ndarray], jumps: dict[int, np.ndarray], i: int, j: int, visited: set[tuple[int, int]]) -> list[tuple[bool, tuple[int, ...]]]:
+    """(read, tokens) per passage word of the run that ends at word ``i`` and token ``j``."""
+    out: list[tuple[bool, tuple[int, ...]]] = []
+    while True:
+        visited.add((i, j))
+        code = int(moves[i][j])
+        read, code = bool(code & _READ), code & ~_READ
+        if code == _MISSING:
+            out.append((False, ()))
+            i -= 1
+        elif code == _HALVES:
+            out.append((True, (j - 1, j)))
+            i, j = i - 1, j - 2
+        elif code == _GLUED:
+            out += [(True, (j,)), (True, ())]
+            i, j = i - 2, j - 1
+        elif code == _ENTER:
+            out.append((True, (j,)))
+            i, j = i - 1, int(jumps[i][j])
+        else:
+            out.append((read, (j,)))
+            if not code:
+                return out[::-1]
+            i, j = i - 1, j - code
+
+
+def stretches(read: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
+    """The stretches [a, b) of a run that make a case: the best one, then the best of what is left on both sides of it."""
+    sums = np.concatenate([[0], np.cumsum(read)])
+    out, todo = [], [(0, len(read))]
+    while todo:
+        low, high = todo.pop()
+        best = None
+        begins = np.flatnonzero(read[low:high]) + low
+        b = begins + 1
+        for block in range(0, len(begins), 256):
+            a = begins[block : block + 256, None]
+            seen = sums[b] - sums[a]
+            worth = np.where((b - a >= rules.run) & (seen >= rules.clear * (b - a)), 3 * seen - 2 * (b - a), -(10**9))
+            x, y = np.unravel_index(int(worth.argmax()), worth.shape)
+            if worth[x, y] > (best[0] if best else -(10**9)):
+                best = (int(worth[x, y]), int(a[x, 0]), int(b[y]))
+        if best:
+            out.append(best[1:])
+            todo += [x for x in ((low, best[1]), (best[2], high)) if x[1] - x[0] >= rules.run]
+    return out
 
 
 def in_window(starts: set[int], n: int, window: int) -> int:
@@ -230,9 +328,9 @@ def in_window(starts: set[int], n: int, window: int) -> int:
     return most
 
 
-def chained(hits: list[tuple[int, int]], n: int) -> tuple[int, tuple[int, int], tuple[int, int]]:
-    """Most passage words covered by hits (passage place, page place) in the order of both, leaving the diagonal costing two words;
-    with the passage's and the page's first and last place of that chain."""
+def chained(hits: list[tuple[int, int]], n: int, least: int) -> list[tuple[int, int]]:
+    """The hits (passage place, page place) of every chain in the order of both, and what branches off it, that covers ``least`` or more
+    passage words; leaving the diagonal costs two words."""
     hits = sorted(hits)
     value = [n] * len(hits)
     first = list(range(len(hits)))
@@ -245,11 +343,27 @@ def chained(hits: list[tuple[int, int]], n: int) -> tuple[int, tuple[int, int],
                 worth = value[b] + min(dk, n) - (0 if abs(dj - dk) <= 2 else 2)
                 if worth > value[a]:
                     value[a], first[a] = worth, first[b]
-    if not hits:
-        return 0, (0, 0), (0, 0)
-    last = max(range(len(hits)), key=value.__getitem__)
-    low = hits[first[last]]
-    return value[last], (low[0], hits[last][0]), (low[1], hits[last][1])
+    enough = {first[a] for a, v in enumerate(value) if v >= least}
+    return [h for h, f in zip(hits, first) if f in enough]
+
+
+def diagonals(hits: list[tuple[int, int]], n: int, least: int) -> list[list[tuple[int, int]]]:
+    """The hits of each unbroken copy that covers ``least`` or more passage words: places on the page go with those in the passage."""
+    runs: list[list[tuple[int, int]]] = []
+    worth: list[int] = []
+    last: dict[int, int] = {}  # by page place less passage place
+    for k, j in sorted(hits):
+        near = [last[d] for d in range(j - k - 2, j - k + 3) if d in last and 0 < k - runs[last[d]][-1][0] <= 5 * n and j > runs[last[d]][-1][1]]
+        if near:
+            r = max(near, key=worth.__getitem__)
+            worth[r] += min(k - runs[r][-1][0], n)
+            runs[r].append((k, j))
+        else:
+            r = len(runs)
+            runs.append([(k, j)])
+            worth.append(n)
+        last[j - k] = r
+    return [r for r, w in zip(runs, worth) if w >= least]
 
 
 class Passages:
@@ -298,14 +412,19 @@ class Passages:
                     hits[i].append((k, j))
         out = []
         for i, own in hits.items():
-            worth, places, spots = chained(own, rules.n)
-            if worth < rules.chain:
+            own = chained(own, rules.n, rules.chain)
+            if not own:
                 continue
             if i not in self._items:
                 self._items[i] = Item(self.texts[i])
-            run, seen, at = align(self._items[i], tokens, line, pos, places, spots)
-            if run >= rules.run and seen >= rules.clear * run:
-                out.append((i, run, seen, at))
+            # all together, as a run may go on over foreign lines; each copy also alone, as there a run may leave it for a longer but worse one
+            copies = diagonals(own, rules.n, rules.chain)
+            cases = [align(self._items[i], tokens, line, pos, rules, own)]
+            if len(copies) > 1:
+                cases += [align(self._items[i], tokens, line, pos, rules, copy) for copy in copies]
+            run, seen, _ = max(cases, key=lambda c: (3 * c[1] - 2 * c[0], c[0]))
+            if run:
+                out.append((i, run, seen, sorted(set().union(*(at for _, _, at in cases)))))
         return out
 
 
@@ -314,10 +433,11 @@ _LEAKS = "item_id bigint, doc_id bigint, run int, words_read int, lines array<in
 
 def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes", item_id: str = "item_id", passage: str = "passage", rules: Rules | None = None, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """(item_id, doc_id, run, words_read, lines): pages that hold ``rules.run`` or more words in a row of an item's passage.
+    Of several runs of an item on a page the best is given, with the lines of all.
 
     One scan of the documents without a shuffle: the passages' n-grams are broadcast as a hash set; a page whose lines hit
     enough of one passage is put in reading order, and if the hits then follow the passage, aligned word by word. ``lines`` are the
-    numbers of the page's lines that hold the run. Passages are counted first: beyond ``max_words`` words they are split by a hash
+    numbers of the page's lines that hold a run. Passages are counted first: beyond ``max_words`` words they are split by a hash
     of the id and the documents scanned once per part. Null or empty texts and passages, and null ids, give no rows; lines without a
     box are read after the line before them; a repeated page gives a row each time. Other columns aren't read.
     """
