@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from vocabgraph.llm.leakage import Item, Passages, Rules, align, drop_leaks, find_leaks, page_tokens, reading_order
+from vocabgraph.llm.leakage import Item, Passages, Rules, align, chained, drop_leaks, find_leaks, page_tokens, reading_order
 
 rng = random.Random(9)
 VOCABULARY = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(900)]
@@ -130,3 +130,29 @@ def test_clean_copy_beside_a_near_copy():
     both = lines(long[:30], broken=False) + between + lines(long[:30], broken=False)
     (_, run, _, at), = Passages([(1, " ".join(long))], Rules()).verify("\n".join(both), None, [1])
     assert run == 30 and set(at) == {*range(5), *range(len(both) - 5, len(both))}
+
+
+def test_long_interruptions_on_long_pages():
+    foreign = lines(prose(6_000, 51), broken=False)
+    halves = lines(PASSAGE[:14], broken=False), lines(PASSAGE[14:28], broken=False)
+    for page in (halves[0] + foreign[:570] + halves[1], halves[0] + foreign + halves[1], foreign + halves[0] + foreign[:150] + halves[1] + foreign):
+        (i, run, _, at), = Passages([(1, " ".join(PASSAGE))], Rules()).verify("\n".join(page), None, [1])
+        assert (i, run, at) == (1, 28, [x for x, text in enumerate(page) if text in halves[0] + halves[1]])
+
+
+def test_chains_of_many_hits():
+    own = random.Random(61)
+
+    def plainly(hits, n, least):
+        hits = sorted(hits)
+        value, first = [n] * len(hits), list(range(len(hits)))
+        for a, (k, j) in enumerate(hits):
+            for b, (x, y) in enumerate(hits[:a]):
+                if 0 < k - x <= 5 * n and y < j and (worth := value[b] + min(k - x, n) - (0 if abs(j - y - k + x) <= 2 else 2)) > value[a]:
+                    value[a], first[a] = worth, first[b]
+        return max(value) >= least
+
+    for _ in range(200):
+        hits = {(own.randrange(30), own.randrange(60)) for _ in range(own.randrange(1, 40))}
+        for least in range(3, 30, 3):
+            assert bool(chained(list(hits), 3, least)) == plainly(hits, 3, least)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,6 @@ PAIRS = [("rn", "m"), ("in", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li",
 LETTER_GROUPS = ["eco0anupd(", "iltrjfsvy15!|", "hbk68", "gq9"]
 
 AROUND = 16
-STRETCH, OVERLAP = 2_000, 600  # tokens of a very long page that are verified together, and shared by neighbours
 MAX_ITEM_WORDS = 2_000_000  # words of all passages that may be broadcast as n-grams
 
 
@@ -334,15 +334,29 @@ def chained(hits: list[tuple[int, int]], n: int, least: int) -> list[tuple[int,
     hits = sorted(hits)
     value = [n] * len(hits)
     first = list(range(len(hits)))
-    for a, (k, j) in enumerate(hits):
-        for b in range(a - 1, -1, -1):
-            dk, dj = k - hits[b][0], j - hits[b][1]
-            if dk > 5 * n:
-                break
-            if dk > 0 and dj > 0:
-                worth = value[b] + min(dk, n) - (0 if abs(dj - dk) <= 2 else 2)
-                if worth > value[a]:
-                    value[a], first[a] = worth, first[b]
+    # per passage place: its hits, their page places, and the best of them so far in page order
+    places: dict[int, tuple[int, list[int], list[int]]] = {}
+    start = 0
+    while start < len(hits):
+        k, end = hits[start][0], start
+        while end < len(hits) and hits[end][0] == k:
+            j = hits[end][1]
+            for dk in range(1, 5 * n + 1):
+                if k - dk not in places:
+                    continue
+                begin, js, top = places[k - dk]
+                here = bisect_left(js, j)
+                for b in range(bisect_left(js, j - dk - 2), min(here, bisect_left(js, j - dk + 3))):
+                    if (worth := value[begin + b] + min(dk, n)) > value[end]:
+                        value[end], first[end] = worth, first[begin + b]
+                if here and (worth := value[top[here - 1]] + min(dk, n) - 2) > value[end]:
+                    value[end], first[end] = worth, first[top[here - 1]]
+            end += 1
+        top = []
+        for x in range(start, end):
+            top.append(x if not top or value[x] >= value[top[-1]] else top[-1])
+        places[k] = (start, [j for _, j in hits[start:end]], top)
+        start = end
     enough = {first[a] for a, v in enumerate(value) if v >= least}
     return [h for h, f in zip(hits, first) if f in enough]
 
@@ -391,19 +405,10 @@ class Passages:
         return [i for i, starts in hits.items() if n * len(starts) >= self.rules.cover and in_window(starts, n, self.rules.window) >= self.rules.cover]
 
     def verify(self, text: str, boxes: list[tuple | None] | None, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
-        """(item, run, words read, line numbers) of the cases among ``items``; very long pages are taken in overlapping stretches."""
+        """(item, run, words read, line numbers) of the cases among ``items``."""
         lines = text.split("\n")
         order = reading_order(lines, boxes)
         tokens, line, pos = page_tokens([lines[i] for i in order])
-        best: dict[int, tuple[int, int, int, list[int]]] = {}
-        for start in range(0, max(1, len(tokens) - OVERLAP), STRETCH - OVERLAP) if len(tokens) > 2 * STRETCH else (0,):
-            cut = slice(start, start + STRETCH) if len(tokens) > 2 * STRETCH else slice(None)
-            for i, run, seen, at in self._verify(tokens[cut], line[cut], pos[cut], items):
-                if i not in best or run > best[i][1]:
-                    best[i] = (i, run, seen, sorted({order[x] for x in at} | set(best[i][3] if i in best else ())))
-        return list(best.values())
-
-    def _verify(self, tokens: list[str], line: np.ndarray, pos: np.ndarray, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
         rules = self.rules
         hits: dict[int, list[tuple[int, int]]] = {i: [] for i in items}
         for j in range(len(tokens) - rules.n + 1):
@@ -424,7 +429,7 @@ class Passages:
                 cases += [align(self._items[i], tokens, line, pos, rules, copy) for copy in copies]
             run, seen, _ = max(cases, key=lambda c: (3 * c[1] - 2 * c[0], c[0]))
             if run:
-                out.append((i, run, seen, sorted(set().union(*(at for _, _, at in cases)))))
+                out.append((i, run, seen, sorted({order[x] for _, _, at in cases for x in at})))
         return out
 
 
