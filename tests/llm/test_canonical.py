@@ -74,3 +74,15 @@ def test_frames_and_shards(spark):
     assert shards == {t: i for t, i in want.items() if not t.startswith("visiting")}
     assert {r.entry_id for r in map_names(names, "name", entries.limit(0)).collect()} == {None}
     assert map_names(names.limit(0), "name", entries).count() == 0
+
+
+@pytest.mark.parametrize("shard_entries", [1, 2, 5])
+def test_shards_give_what_one_tree_gives(spark, shard_entries):
+    """Qualifiers and rare words are those of the whole list, and no shard searches on where another one has an entry."""
+    more = [(20 + i, f"{kind} plemtorra {place}", None) for i, (kind, place) in enumerate((k, p) for k in ("inner", "outer", "minor") for p in ("ward", "wing", "yard"))]
+    more += [(40, "tabletka norvasil", None), (41, "tabka norvasil", None), (42, "ab cdefgh", None), (43, "abc defgh", None)]
+    texts = [*CASES, "inmer plemtorra ward", "iner plemtorra wing", "manor plemtorra yard", "other plemtorra yard", "plemtora ward, outer", "tabka norvasil", "tabkanorvasil", "tabkk norvasil", "abcdefgg"]
+    names = spark.createDataFrame([(t,) for t in texts], "name string")
+    entries = spark.createDataFrame(ENTRIES + ENTRIES[:3] + more, "canonical_id long, canonical_name string, short_form string")
+    whole = {tuple(r) for r in map_names(names, "name", entries).collect()}
+    assert {tuple(r) for r in map_names(names, "name", entries, shard_entries=shard_entries).collect()} == whole

@@ -50,21 +50,21 @@ def words(text: str) -> list[str]:
 
 
 class Matcher:
-    """One tree over all word rotations of the entries' names, and the entries' short forms, which match exactly only."""
+    """One tree over all word rotations of the entries' names, and the entries' short forms, which match exactly only.
+
+    ``spread`` (entries a word is found in) and ``swaps`` are taken from ``entries``, unless those are only a part of the list.
+    """
 
     def __init__(self, entries: list[tuple[int, str, str | None]], settings: Settings, spread: Counter | None = None, swaps: dict[str, set[str]] | None = None):
         self.settings = settings
         named = [(i, words(comparable(n))) for i, n, _ in entries if n and words(comparable(n))]
         self.spread = Counter(w for _, ws in named for w in set(ws)) if spread is None else spread
         self.swaps = qualifier_swaps([ws for _, ws in named]) if swaps is None else swaps
-        self.owners: dict[str, set[int]] = defaultdict(set)
-        self.parts: dict[str, list[str]] = {}
+        self.owners: dict[str, dict[tuple[str, ...], set[int]]] = defaultdict(lambda: defaultdict(set))  # per key, by its words
         for i, ws in named:
             for k in range(len(ws)):
                 turned = ws[k:] + ws[:k]
-                key = "".join(turned)
-                self.owners[key].add(i)
-                self.parts.setdefault(key, turned)
+                self.owners["".join(turned)][tuple(turned)].add(i)
         self.codes: dict[str, set[int]] = defaultdict(set)
         for i, _, code in entries:
             if code and words(comparable(code)):
@@ -110,19 +110,16 @@ class Matcher:
                 out.append(plain)
         return list(dict.fromkeys(x for x in out if x))
 
-    def allowed(self, key: str) -> int:
-        if key in self.codes and key not in self.owners:
-            return 0
-        rare = [w for w in self.parts[key] if self.spread[w] <= self.settings.common and not w.isdigit()]
-        longest = max(map(len, rare or self.parts[key]))
+    def allowed(self, parts: tuple[str, ...]) -> int:
+        rare = [w for w in parts if self.spread[w] <= self.settings.common and not w.isdigit()]
+        longest = max(map(len, rare or parts))
         return min(self.settings.most, max(1, int(self.settings.share * longest)))
 
-    def contradicted(self, form: str, key: str, d: int) -> bool:
+    def contradicted(self, form: str, parts: tuple[str, ...], d: int) -> bool:
         """Whether another qualifier in the same place would fit no worse, or the figures differ."""
-        if sorted(_DIGITS.findall(form)) != sorted(_DIGITS.findall(key)):
+        if sorted(_DIGITS.findall(form)) != sorted(_DIGITS.findall("".join(parts))):
             return True
-        parts = self.parts.get(key)
-        if not parts or d == 0:
+        if d == 0:
             return False
         for i, w in enumerate(parts):
             for other in self.swaps.get(w, ()):
@@ -130,24 +127,30 @@ class Matcher:
                     return True
         return False
 
-    def match(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+    @property
+    def reaches(self) -> tuple[tuple[bool, int], ...]:
+        return (False, 1), (False, self.settings.most), (True, self.settings.most)
+
+    def match(self, texts: list[str], only: int | None = None) -> list[list[tuple[int, int]]]:
         """Per text: every (entry, distance) of the closest reach that holds an uncontradicted one.
 
         Most texts have an entry within one edit; only the rest is searched at the full threshold, and what then is left
-        with short words taken apart. A farther entry can never win, so the closest ones are complete.
+        with short words taken apart. A farther entry can never win, so the closest ones are complete. ``only`` searches one reach.
         """
         stripped = [self.strip(comparable(t)) for t in texts]
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         todo = list(range(len(texts)))
-        for deep, reach in ((False, 1), (False, self.settings.most), (True, self.settings.most)):
+        for deep, reach in self.reaches if only is None else (self.reaches[only],):
             forms = [(i, f) for i in todo for f in self.forms(stripped[i], deep)]
             at, key, dist = self.tree.search([f for _, f in forms], np.full(len(forms), min(reach, self.settings.most)))
             for a, k, d in sorted(zip(at.tolist(), key.tolist(), dist.tolist()), key=lambda x: x[2]):
                 i, form = forms[a]
                 name = self.tree.keys[k]
-                if d <= self.allowed(name) and not self.contradicted(form, name, d):
-                    owners = self.owners.get(name, set()) | (self.codes.get(name, set()) if d == 0 else set())
-                    out[i].extend((o, d) for o in owners)
+                owners = set(self.codes.get(name, ())) if d == 0 else set()
+                for parts, own in self.owners.get(name, {}).items():
+                    if d <= self.allowed(parts) and not self.contradicted(form, parts, d):
+                        owners |= own
+                out[i].extend((o, d) for o in owners)
             todo = [i for i in todo if not out[i]]
         return out
 
@@ -174,6 +177,21 @@ def best(matches: list[tuple[int, int]]) -> tuple[int | None, int | None, int]:
     return (ids[0] if len(ids) == 1 else None), least, len(ids)
 
 
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries with the words of their names."""
+    for batch in batches:
+        yield batch.assign(ws=[words(comparable(n)) if isinstance(n, str) and n else [] for n in batch["name"]])
+
+
+def _word_statistics(listed: DataFrame) -> DataFrame:
+    """(word, n, others): how many entries hold a word, and its ``qualifier_swaps`` (null if none), over the whole list."""
+    spread = listed.select(F.explode(F.array_distinct("ws")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    places = listed.select("ws").distinct().select("ws", F.posexplode("ws").alias("pos", "word"))
+    frames = places.groupBy(F.expr("slice(ws, 1, pos)").alias("before"), F.expr("slice(ws, pos + 2, size(ws))").alias("after")).agg(F.collect_set("word").alias("group")).where("size(group) > 1")
+    pairs = frames.select("group", F.explode("group").alias("word")).select("word", F.explode("group").alias("other")).where("word <> other")
+    return spread.join(pairs.groupBy("word").agg(F.collect_set("other").alias("others")), "word", "left")
+
+
 _FOUND = "text string, entry_id bigint, distance int, n_closest int"
 
 
@@ -192,7 +210,8 @@ def map_names(names: DataFrame, column: str, entries: DataFrame, *, entry_id: st
     threshold the closest wins; if several are equally close, entry_id is null and n_closest tells how many; n_closest 0 means
     no entry is near. Null texts give no row, empty ones an unmatched row. Entries with null or empty names match by
     short form only. An entry list of up to ``shard_entries`` (counted) is broadcast as one tree. A longer one is split by a hash
-    of the id; every shard sees every text, and the shards' closest entries merge.
+    of the id; every shard sees every text and what the whole list says of its own words, and the shards' closest entries merge
+    after each reach, before the rest is searched further. So the shards give the rows of one tree.
     """
     settings = settings or Settings()
     spark = names.sparkSession
@@ -214,19 +233,33 @@ def map_names(names: DataFrame, column: str, entries: DataFrame, *, entry_id: st
         return texts.repartition(width).mapInPandas(search, _FOUND)
     shards = -(-n // shard_entries)
     blocks = max(1, width // shards)
-    spread = texts.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-
-    def shard(texts_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
-        own = texts_["text"].tolist()
-        listed = [(int(i), None if n is None else n, None if c is None else c) for i, n, c in zip(entries_["id"], entries_["name"].astype(object).where(entries_["name"].notna(), None), entries_["code"].astype(object).where(entries_["code"].notna(), None))]
-        matches = Matcher(listed, settings).match(own) if own else []
-        flat = [(t, i, d) for t, m in zip(own, matches) for i, d in (m or [(None, None)])]
-        return pd.DataFrame({"text": pd.Series([f[0] for f in flat], dtype=object), "entry_id": pd.array([f[1] for f in flat], "Int64"), "distance": pd.array([f[2] for f in flat], "Int32")})
-
-    parts = spread.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(shard, "text string, entry_id bigint, distance int")
-    closest = parts.groupBy("text").agg(F.min("distance").alias("distance"), F.min(F.struct("distance", "entry_id")).alias("first"), F.collect_set(F.when(F.col("entry_id").isNotNull(), F.struct("distance", "entry_id"))).alias("all"))
-    ties = F.size(F.filter("all", lambda x: x["distance"] == F.col("distance")))
-    # a shard sends only its closest entries, so the set holds a few per shard
+    listed = scratch.cut(rows.mapInPandas(_split, "id bigint, name string, code string, ws array<string>").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "entries")
+    own_words = listed.select("shard", F.explode("ws").alias("word")).distinct()
+    about = own_words.join(_word_statistics(listed), "word").select("shard", "word", "n", "others")
+    shared = listed.select("shard", F.col("id").cast("string").alias("id"), "name", "code").unionByName(about, allowMissingColumns=True)
+    copies = scratch.cut(shared, "copies").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def search_shard(reach: int):
+        def shard(texts_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
+            own = texts_["text"].tolist()
+            about, listed = entries_[entries_["word"].notna()], entries_[entries_["id"].notna()]
+            listed = [(int(i), *(None if pd.isna(x) else x for x in nc)) for i, *nc in zip(listed["id"], listed["name"], listed["code"])]
+            spread = Counter(dict(zip(about["word"], about["n"].astype(int))))
+            swaps = {w: set(x) for w, x in zip(about["word"], about["others"]) if x is not None}
+            matches = Matcher(listed, settings, spread, swaps).match(own, reach) if own else []
+            flat = [(t, i, d) for t, m in zip(own, matches) for i, d in m]
+            return pd.DataFrame({"text": pd.Series([f[0] for f in flat], dtype=object), "entry_id": pd.array([f[1] for f in flat], "Int64"), "distance": pd.array([f[2] for f in flat], "Int32")})
+
+        return shard
+
+    left, parts = texts, None
+    for reach in range(3):
+        asked = left.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        met = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(search_shard(reach), "text string, entry_id bigint, distance int")
+        met = scratch.cut(met, "met")
+        parts = met if parts is None else parts.unionByName(met)
+        left = scratch.cut(left.join(met.select("text").distinct(), "text", "left_anti"), "left")
+    closest = parts.groupBy("text").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "entry_id")).alias("all"))
     won = F.filter("all", lambda x: x["distance"] == F.col("distance"))
-    return closest.select("text", F.when(ties == 1, F.element_at(won, 1)["entry_id"]).alias("entry_id"), "distance", ties.alias("n_closest"))
+    found = closest.select("text", F.when(F.size(won) == 1, F.element_at(won, 1)["entry_id"]).alias("entry_id"), "distance", F.size(won).alias("n_closest"))
+    return found.unionByName(left.select("text", F.lit(None).cast("bigint").alias("entry_id"), F.lit(None).cast("int").alias("distance"), F.lit(0).alias("n_closest")))
