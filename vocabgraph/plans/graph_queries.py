@@ -25,6 +25,7 @@ ON = date(2015, 6, 30)
 DEPTH, PAIR_DEPTH, MAX_NODES, MAX_PATHS, UP, TOP = 3, 6, 50, 20, 4, 5
 DOMAIN = "Condition"
 MAX_PARENTS = 100
+# UP bounds the SQL of the common parents only: the queries go up to the top
 
 Q = tuple[SparkSession, str]
 
@@ -327,7 +328,7 @@ def _groups(t: VocabularyTables) -> DataFrame:
 
 def _common(spark, sf_dir) -> tuple[VocabularyTables, P.CommonParents]:
     t = _tables(spark, sf_dir)
-    return t, P.common_parents(E.enriched_edges(t), _groups(t), max_up_depth=UP)
+    return t, P.common_parents(E.enriched_edges(t), _groups(t))
 
 
 def common_parents(spark, sf_dir):
@@ -346,7 +347,7 @@ def greedy_cover_first(spark, sf_dir):
 
 def greedy_cover(spark, sf_dir):
     t, found = _common(spark, sf_dir)
-    picks = P.greedy_cover(_groups(t), found, target_ratio=0.5)
+    picks = P.greedy_cover(_groups(t), found)
     return picks.select("group_id", F.col("pick_no").cast("long").alias("pick_no"), "parent_id", "gain", F.round("score", 6).alias("score"))
 
 
