@@ -86,3 +86,9 @@ def test_shards_give_what_one_tree_gives(spark, shard_entries):
     entries = spark.createDataFrame(ENTRIES + ENTRIES[:3] + more, "canonical_id long, canonical_name string, short_form string")
     whole = {tuple(r) for r in map_names(names, "name", entries).collect()}
     assert {tuple(r) for r in map_names(names, "name", entries, shard_entries=shard_entries).collect()} == whole
+
+
+def test_long_words_that_are_written_shorter():
+    doses = [(1, "luruklun 5 mg ointment", None), (2, "luruklun 450 mg ointment", None)]
+    found = Matcher(doses, Settings()).match(["luruklun 450 milligrams ointment", "luruklun 5 milligrams ointment", "x" * 200_000])
+    assert [best(m)[0] for m in found] == [2, 1, None]

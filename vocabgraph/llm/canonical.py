@@ -90,10 +90,10 @@ class Matcher:
     def forms(self, text: str, deep: bool) -> list[str]:
         """The ways to read a stripped text: short words written out; if ``deep``, also those glued to the next or last word."""
         ws = words(text)
-        if sum(map(len, ws)) > self.longest:  # written out it only gets longer: too far from every key
-            return []
         short = self.settings.short_words
         full = [short.get(w, w) for w in ws]
+        if min(sum(map(len, ws)), sum(map(len, full))) > self.longest:  # too far from every key
+            return []
         out = ["".join(full)]
         if deep:
             out = []
