@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ONTOLOGICAL
+from ..scratch import Scratch
 from ..sources.tables import VocabularyTables
 from .edges import EdgeFilter
-from .paths import shortest_paths
+from .paths import paths_to_targets
 from .resolvers import ResolverPipeline
 from .scoring import COUNTERS, path_profile, path_rank
 
@@ -45,16 +46,18 @@ def ground_terms(tables: VocabularyTables, edges: DataFrame, terms: DataFrame, p
     """(term_id, concept_id, label, COUNTERS of the best path, rank_no, paths) for ``terms`` (term_id, text).
 
     A concept passes if a path of ontological links leads to one of the parents; it may be the parent itself. Up to three
-    paths per parent are kept. Without parents nothing grounds. Ties in rank keep the order of the hits.
+    paths per parent are kept. Without parents nothing grounds. Ties in rank keep the order of the hits. The parents search back
+    once for all terms.
     """
-    hits = passes_constraints(tables, pipeline.resolve(tables, terms), constraints)
-    # one search per concept and parent, however many terms share it; the parents are a given short list
-    pairs = hits.select(F.col("concept_id").alias("source")).distinct().select("source", F.explode(F.array(*[F.lit(int(p)).cast("bigint") for p in constraints.parent_ids]) if constraints.parent_ids else F.array().cast("array<bigint>")).alias("target"))
-    pairs = pairs.select(F.struct("source", "target").alias("pair_id"), "source", "target")
+    scratch = Scratch(edges.sparkSession, "grounding")
+    hits = scratch.cut(passes_constraints(tables, pipeline.resolve(tables, terms), constraints), "hits")
+    parents = list(dict.fromkeys(int(p) for p in constraints.parent_ids))
+    targets = hits.sparkSession.createDataFrame([(p,) for p in parents], "target bigint")
     rule = EdgeFilter(predicate="Is a" if constraints.upward_only else None, kinds=(ONTOLOGICAL,))
-    found = shortest_paths(edges, pairs, rule=rule, max_depth=constraints.max_depth, max_paths=PATHS_PER_PARENT)
-    profiled = path_profile(tables, found.paths).withColumn("concept_id", F.col("pair_id.source"))
-    order = {int(p): n for n, p in reversed(list(enumerate(constraints.parent_ids)))}
+    found = paths_to_targets(edges, hits.select(F.col("concept_id").alias("source")), targets, rule=rule, max_depth=constraints.max_depth, max_paths=PATHS_PER_PARENT)
+    found = found.select(F.struct("source", "target").alias("pair_id"), "path_no", "hops", "steps")
+    profiled = path_profile(tables, found).withColumn("concept_id", F.col("pair_id.source"))
+    order = {p: n for n, p in enumerate(parents)}
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("pair_id.target")] if order else F.lit(0)
     best = profiled.groupBy("concept_id").agg(F.min_by(F.struct(*COUNTERS), F.struct(path_rank(), place, "path_no")).alias("best"), F.array_sort(F.collect_list(F.struct(place.alias("parent"), "path_no", "steps"))).alias("paths"))
     out = hits.join(best, "concept_id").select("term_id", "concept_id", "label", "hit_no", *[F.col("best")[c].alias(c) for c in COUNTERS], F.transform("paths", lambda x: x["steps"]).alias("paths"))

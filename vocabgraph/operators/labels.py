@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +83,3 @@ def ranked_labels(matches: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("term_id").orderBy(label_rank(F.col("is_standard"), F.col("is_active"), F.col("match_kind")), "concept_id", "matched_label")
     return matches.withColumn("rank_no", F.row_number().over(order))
-
-
-def has_wildcard(text: str) -> bool:
-    return bool(re.search("[%_]", text))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .edges import EdgeFilter
+from .traverse import reach_levels
 
 OUT, BACK = "forward", "backward"
 STATE = ["pair_id", "side", "node", "depth", "fan", "fresh"]
@@ -115,6 +116,36 @@ def _walk(asked: DataFrame, links: DataFrame, hops: DataFrame, reached: DataFram
     return done
 
 
+def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int = 6, max_paths: int = 20) -> DataFrame:
+    """(source, target, path_no, hops, steps): the shortest paths of every (source) to every (target) it leads to in ``max_depth`` steps.
+
+    For many sources and few targets: one backward search per target, shared by all sources, gives each node's distance to
+    it; the sources met then walk down the distances. Nothing is made of pairs that aren't connected. Order and cap of paths
+    are those of ``shortest_paths``. A source that is a target has a path without steps. Null ids are dropped.
+    """
+    rule = rule or EdgeFilter()
+    scratch = Scratch(edges.sparkSession, "targets")
+    links = scratch.cut(edges.where(rule.condition()).select(F.col("subject_id").alias("s"), F.col("predicate_id").alias("p"), F.col("object_id").alias("o")).dropna().distinct(), "links")
+    back = links.select(F.col("o").alias("subject_id"), F.col("s").alias("object_id"))
+    seeds = targets.select(F.col("target").alias("query_id"), F.col("target").alias("node"))
+    levels = reach_levels(back, seeds, max_depth, scratch)
+    ahead = reduce(DataFrame.unionByName, levels).select(F.col("query_id").alias("target"), "node", "depth")
+    asked = sources.select(F.col("source").alias("node")).dropna().distinct()
+    paths = ahead.join(asked, "node").select(F.col("node").alias("source"), "target", F.col("depth").alias("hops"), "node", F.array().cast(f"array<{STEP}>").alias("steps"))
+    order = Window.partitionBy("source", "target").orderBy("steps")
+    # finished paths ride along unmatched, so that all steps are one plan over written tables
+    for taken in range(1, len(levels)):
+        nxt = links.select(F.col("s").alias("node"), F.struct(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object")).alias("_step"))
+        near = ahead.where(F.col("depth") < len(levels) - taken).select("target", F.col("node").alias("_to"), F.col("depth").alias("_left"))
+        paths = paths.withColumn("_on", F.when(F.col("hops") >= taken, F.col("node"))).join(nxt.withColumnRenamed("node", "_on"), "_on", "left")
+        paths = paths.withColumn("_to", F.col("_step.object")).withColumn("_left", F.col("hops") - taken).join(near.withColumn("_near", F.lit(True)), ["target", "_to", "_left"], "left")
+        paths = paths.where("hops < %d OR _near" % taken)
+        paths = paths.select("source", "target", "hops", F.when(F.col("hops") < taken, F.col("node")).otherwise(F.col("_to")).alias("node"), F.when(F.col("hops") < taken, F.col("steps")).otherwise(F.concat("steps", F.array("_step"))).alias("steps"))
+        paths = paths.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= max_paths).drop("_no")
+    paths = scratch.cut(paths, "walked")
+    return paths.withColumn("path_no", F.row_number().over(order)).select("source", "target", "path_no", "hops", "steps")
+
+
 def path_nodes(steps):
     """Array of a path's nodes: the first subject and every object; empty without steps."""
     objects = F.transform(steps, lambda x: x["object"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +24,23 @@ class Traversal:
     summary: DataFrame
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, scratch: Scratch) -> DataFrame:
-    """(query_id, node, depth) of everything within ``max_depth`` steps along ``edges`` (subject_id, object_id), written level by level."""
-    pairs = edges.select("subject_id", "object_id")
-    every = frontier = scratch.cut(seeds.select("query_id", "node").dropna().distinct().withColumn("depth", F.lit(0)), "level-0")
+def reach_levels(links: DataFrame, seeds: DataFrame, max_depth: int, scratch: Scratch) -> list[DataFrame]:
+    """(query_id, node, depth) of what is first met at each depth up to ``max_depth`` along ``links`` (subject_id, object_id), each level written.
+
+    ``links`` is read once per level and should be a written table.
+    """
+    pairs = links.select("subject_id", "object_id")
+    every = seeds.select("query_id", "node").dropna().distinct().withColumn("depth", F.lit(0))
+    levels = [scratch.cut(every, "level-0")]
+    every = levels[0]
     for depth in range(1, max_depth + 1):
-        step = frontier.join(pairs, frontier["node"] == pairs["subject_id"]).select("query_id", F.col("object_id").alias("node")).distinct()
-        frontier = scratch.cut(step.join(every.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
-        if frontier.isEmpty():
+        step = levels[-1].join(pairs, F.col("node") == F.col("subject_id")).select("query_id", F.col("object_id").alias("node")).distinct()
+        met, n = scratch.counted(step.join(every.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
+        if not n:
             break
-        every = every.unionByName(frontier)
-    return every
+        levels.append(met)
+        every = every.unionByName(met)
+    return levels
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int, max_nodes: int | None = None) -> Traversal:
@@ -41,12 +48,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, *, rule: EdgeFilter | None = No
 
     Nodes at ``max_depth`` are visited but not expanded. With ``max_nodes`` N the first N nodes by (depth, id) are kept and the
     first N - 1 expanded, and the reason is 'max_nodes' if there were at least N; 0 or None means no bound. Seeds count
-    once; unknown seeds are visited without edges. Edges to nodes seen before, or cut off by N, are kept.
+    once; unknown seeds are visited without edges. Edges to nodes seen before, or cut off by N, are kept. The edges that
+    pass are written once, so the vocabulary tables are read once however many levels there are.
     """
     rule = rule or EdgeFilter()
     scratch = Scratch(edges.sparkSession, "traverse")
-    passing = edges.where(rule.condition()).select(*EDGE_COLUMNS)
-    found = reach(passing, seeds, max_depth, scratch)
+    passing = scratch.cut(edges.where(rule.condition()).select(*EDGE_COLUMNS).dropDuplicates(["subject_id", "predicate_id", "object_id"]), "passing")
+    found = reduce(DataFrame.unionByName, reach_levels(passing, seeds, max_depth, scratch))
     asked = seeds.select("query_id").dropna().distinct()
     if max_nodes:
         order = Window.partitionBy("query_id").orderBy("depth", "node")
@@ -63,4 +71,4 @@ def traverse(edges: DataFrame, seeds: DataFrame, *, rule: EdgeFilter | None = No
     steps = opened.withColumn("step_no", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "node")))
     trace = steps.join(passing, F.col("node") == F.col("subject_id"), "left").select("query_id", "step_no", "depth", "node", *EDGE_COLUMNS)
     kept = opened.select("query_id", F.col("node").alias("subject_id")).join(passing, "subject_id").select("query_id", *EDGE_COLUMNS)
-    return Traversal(nodes, kept.dropDuplicates(["query_id", "subject_id", "predicate_id", "object_id"]), trace, summary)
+    return Traversal(nodes, kept, trace, summary)

@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import MAPPING, ONTOLOGICAL
+from ..functions.columns import ATTRIBUTE, MAPPING, ONTOLOGICAL
+from ..model import Predicate
 from ..operators import edges as E
 from ..operators import hierarchy as H
 from ..operators import labels as L
@@ -22,10 +23,11 @@ from ..render import frames as R
 from ..sources.tables import CONCEPT, VocabularyTables
 
 ON = date(2015, 6, 30)
-DEPTH, PAIR_DEPTH, MAX_NODES, MAX_PATHS, UP, TOP = 3, 6, 50, 20, 4, 5
-DOMAIN = "Condition"
+DEPTH, PAIR_DEPTH, MAX_NODES, MAX_PATHS, TOP = 3, 6, 50, 20, 5
+DOMAIN, VOCABULARY = "Condition", "NORDA"
 MAX_PARENTS = 100
-# UP bounds the SQL of the common parents only: the queries go up to the top
+GROUND_DOMAINS, GROUND_VOCABULARIES = ("Condition", "Drug"), ("CORE", "MEDEX", "NORDA")
+WILD = ("acute%of", "l_ft", "%ic_mi%", "50%mg", "a_u%")
 
 Q = tuple[SparkSession, str]
 
@@ -106,6 +108,16 @@ def edges_same_domain(spark, sf_dir):
     return _edges(spark, sf_dir, E.EdgeFilter())
 
 
+def edges_in_filtered(spark, sf_dir):
+    """Incoming edges of two kinds, valid on a day, within the domain."""
+    return _edges(spark, sf_dir, E.EdgeFilter(kinds=(ONTOLOGICAL, ATTRIBUTE), on=ON), "in")
+
+
+def edges_of_predicate(spark, sf_dir):
+    """Incoming edges of one predicate, given as the row that describes it."""
+    return _edges(spark, sf_dir, E.EdgeFilter(predicate=Predicate("Subsumes", "Subsumes", "Is a", True, True, ONTOLOGICAL), within_domain=False), "in")
+
+
 def edges_cross_domain(spark, sf_dir):
     return _edges(spark, sf_dir, E.EdgeFilter(within_domain=False), extra="NOT dangling AND NOT (subject_domain <=> object_domain)")
 
@@ -130,6 +142,15 @@ def roots(spark, sf_dir):
     return H.roots(_tables(spark, sf_dir))
 
 
+def standard_concepts(spark, sf_dir):
+    """Standard concepts of one vocabulary and domain."""
+    return H.standard_concepts(_tables(spark, sf_dir), vocabulary_id=VOCABULARY, domain_id=DOMAIN)
+
+
+def leaves_vocabulary(spark, sf_dir):
+    return H.leaves(_tables(spark, sf_dir), vocabulary_id=VOCABULARY)
+
+
 def roots_domain(spark, sf_dir):
     return H.roots(_tables(spark, sf_dir), domain_id=DOMAIN)
 
@@ -168,6 +189,20 @@ def synonym_fuzzy(spark, sf_dir):
     return L.synonym_lookup(_tables(spark, sf_dir), _first_words(spark, sf_dir), fuzzy=True)
 
 
+def _wild_terms(spark, sf_dir) -> DataFrame:
+    return spark.createDataFrame([(w, w) for w in WILD], "term_id string, text string")
+
+
+def label_wildcards(spark, sf_dir):
+    """Terms in which % and _ stand for any letters."""
+    return L.label_lookup(_tables(spark, sf_dir), _wild_terms(spark, sf_dir), fuzzy=True)
+
+
+def label_wildcards_escaped(spark, sf_dir):
+    """The same signs taken as they are, and the first words of the entries."""
+    return L.label_lookup(_tables(spark, sf_dir), _wild_terms(spark, sf_dir).unionByName(_first_words(spark, sf_dir)), fuzzy=True, escape=True)
+
+
 def label_ids_raw(spark, sf_dir):
     return L.concept_ids_by_label(_tables(spark, sf_dir), _entries(spark, sf_dir))
 
@@ -209,14 +244,15 @@ def traverse_trace(spark, sf_dir):
 
 # paths
 def _stated_pairs(t: VocabularyTables) -> DataFrame:
-    """Every stated (descendant, ancestor)."""
-    rows = t.concept_ancestor.where("descendant_concept_id <> ancestor_concept_id").select(F.col("descendant_concept_id").alias("source"), F.col("ancestor_concept_id").alias("target"))
+    """Every stated (descendant, ancestor), self rows too."""
+    rows = t.concept_ancestor.select(F.col("descendant_concept_id").alias("source"), F.col("ancestor_concept_id").alias("target"))
     return rows.withColumn("pair_id", F.concat_ws(">", "source", "target"))
 
 
 def _upward(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, ShortestPaths]:
+    """Over the hierarchy in both directions and across domains; pairs may have several paths."""
     t = _tables(spark, sf_dir)
-    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(predicate="Is a"), max_depth=PAIR_DEPTH, max_paths=max_paths)
+    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(kinds=(ONTOLOGICAL,), within_domain=False), max_depth=PAIR_DEPTH, max_paths=max_paths)
 
 
 def shortest_path_length(spark, sf_dir):
@@ -235,7 +271,7 @@ def shortest_paths_parallel(spark, sf_dir):
     """Over any predicate, between the ends of every 'Maps to' row: links of other kinds are paths of their own."""
     t = _tables(spark, sf_dir)
     ends = t.concept_relationship.where("relationship_id = 'Maps to'").select(F.col("concept_id_1").alias("source"), F.col("concept_id_2").alias("target")).distinct()
-    found = search(E.enriched_edges(t), ends.withColumn("pair_id", F.concat_ws(">", "source", "target")), rule=E.EdgeFilter(within_domain=False), max_depth=1)
+    found = search(E.enriched_edges(t), ends.withColumn("pair_id", F.concat_ws(">", "source", "target")), rule=E.EdgeFilter(within_domain=False), max_depth=PAIR_DEPTH, max_paths=MAX_PATHS)
     return found.paths.select("pair_id", F.col("path_no").cast("long").alias("path_no"), path_text(F.col("steps")).alias("steps"))
 
 
@@ -250,8 +286,7 @@ def path_rank(spark, sf_dir):
 
 
 def _explained(spark, sf_dir) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    found = search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(predicate="Is a"), max_depth=PAIR_DEPTH, max_paths=MAX_PATHS)
+    t, found = _upward(spark, sf_dir)
     return explain(t, found.paths, found.expansions).select("pair_id", F.col("path_no").cast("long").alias("path_no"), F.col("step_no").cast("long").alias("step_no"), "subject", "predicate", "object", F.col("traversal_depth").cast("long").alias("traversal_depth"), "kind", "reason")
 
 
@@ -294,17 +329,38 @@ def resolve_pipeline(spark, sf_dir):
     return _hits(_pipeline().resolve(_tables(spark, sf_dir), _entries(spark, sf_dir)))
 
 
-def ground_terms(spark, sf_dir):
-    """Every concept name as a term, grounded below the top concepts."""
+def _ground(spark, sf_dir, terms: DataFrame, pipeline: ResolverPipeline, **constraints) -> DataFrame:
     t = _tables(spark, sf_dir)
     tops = tuple(sorted(r[0] for r in t.concept.where("vocabulary_id = 'CORE'").select("concept_id").limit(MAX_PARENTS + 1).collect()))
     if len(tops) > MAX_PARENTS:
         raise ValueError("too many top concepts")
-    terms = t.concept.select(F.lower("concept_name").alias("term_id"), F.lower("concept_name").alias("text")).dropna().distinct()
-    found = ground(t, E.enriched_edges(t), terms, ResolverPipeline([ExactLabelResolver()]), GroundingConstraints(tops, max_depth=PAIR_DEPTH, upward_only=True))
+    found = ground(t, E.enriched_edges(t), terms, pipeline, GroundingConstraints(tops, max_depth=PAIR_DEPTH, **constraints))
     return found.select("term_id", "concept_id", *COUNTERS, F.col("rank_no").cast("long").alias("rank_no"), F.size("paths").cast("long").alias("n_paths"))
 
 
+def _name_terms(spark, sf_dir) -> DataFrame:
+    """Every concept name as a term, lowered; the term is its own id."""
+    low = F.lower("concept_name")
+    return _tables(spark, sf_dir).concept.select(low.alias("term_id"), low.alias("text")).dropna().distinct()
+
+
+def ground_terms(spark, sf_dir):
+    """Every synonym as a term, resolved by the whole pipeline, grounded below the top concepts over all ontological links."""
+    low = F.lower("concept_synonym_name")
+    terms = _tables(spark, sf_dir).concept_synonym.select(low.alias("term_id"), low.alias("text")).distinct()
+    return _ground(spark, sf_dir, terms, _pipeline())
+
+
+def ground_terms_upward(spark, sf_dir):
+    """Every concept name, upward links only."""
+    return _ground(spark, sf_dir, _name_terms(spark, sf_dir), ResolverPipeline([ExactLabelResolver()]), upward_only=True)
+
+
+def ground_terms_constrained(spark, sf_dir):
+    """Every concept name, with constraints of domain, vocabulary and standard flag."""
+    return _ground(spark, sf_dir, _name_terms(spark, sf_dir), ResolverPipeline([ExactLabelResolver()]), allowed_domains=frozenset(GROUND_DOMAINS), allowed_vocabularies=frozenset(GROUND_VOCABULARIES), require_standard=True)
+
+
 def standardise_ids(spark, sf_dir):
     t = _tables(spark, sf_dir)
     return P.standardise_ids(E.enriched_edges(t), _all_ids(t))
@@ -370,8 +426,8 @@ def render_subgraph_text(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        concept_view_batch, concept_by_code, concept_synonyms, predicate_row, predicate_kind, predicate_reverse, edges_out, edges_in, edges_batch, edges_active_on_date, edges_by_kind, edges_same_domain, edges_cross_domain, parents, children, ancestors, roots, roots_domain, leaves, singletons,
-        label_exact, label_fuzzy, synonym_exact, synonym_fuzzy, label_ids_raw, label_rank, traverse_nodes, traverse_edges, traverse_on_date, traverse_max_nodes, traverse_trace, shortest_path_length, shortest_paths, shortest_paths_capped, shortest_paths_parallel, path_profile, path_rank, path_explain, path_explain_depth, ranked_paths,
-        resolve_exact, resolve_partial_topk, resolve_pipeline, ground_terms, standardise_ids, parent_search, subsumes_closure, common_parents, relate_groups, greedy_cover_first, greedy_cover, render_path_text, render_path_mermaid, render_subgraph_text,
+        concept_view_batch, concept_by_code, concept_synonyms, predicate_row, predicate_kind, predicate_reverse, edges_out, edges_in, edges_batch, edges_active_on_date, edges_by_kind, edges_same_domain, edges_cross_domain, edges_in_filtered, edges_of_predicate, standard_concepts, leaves_vocabulary, parents, children, ancestors, roots, roots_domain, leaves, singletons,
+        label_exact, label_fuzzy, synonym_exact, synonym_fuzzy, label_wildcards, label_wildcards_escaped, label_ids_raw, label_rank, traverse_nodes, traverse_edges, traverse_on_date, traverse_max_nodes, traverse_trace, shortest_path_length, shortest_paths, shortest_paths_capped, shortest_paths_parallel, path_profile, path_rank, path_explain, path_explain_depth, ranked_paths,
+        resolve_exact, resolve_partial_topk, resolve_pipeline, ground_terms, ground_terms_upward, ground_terms_constrained, standardise_ids, parent_search, subsumes_closure, common_parents, relate_groups, greedy_cover_first, greedy_cover, render_path_text, render_path_mermaid, render_subgraph_text,
     )
 }

@@ -11,7 +11,8 @@ from ..sources.tables import VocabularyTables
 def _named_steps(tables: VocabularyTables, paths: DataFrame) -> DataFrame:
     names = tables.concept.select("concept_id", F.coalesce("concept_name", F.lit("")).alias("name"))
     steps = paths.select("pair_id", "path_no", F.posexplode("steps").alias("pos", "step")).select("pair_id", "path_no", "pos", "step.subject", "step.predicate", "step.object")
-    return steps.join(names.toDF("subject", "subject_name"), "subject", "left").join(names.toDF("object", "object_name"), "object", "left")
+    known = steps.join(names.toDF("subject", "subject_name"), "subject", "left").join(names.toDF("object", "object_name"), "object", "left")
+    return known.fillna("", ["subject_name", "object_name"])
 
 
 def _joined(lines: DataFrame, keys: list[str], order: list[str], head: str = "", glue: str = "\n") -> DataFrame:
