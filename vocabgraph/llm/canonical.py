@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .bktree import BKTree, distance
 from .lookalike import comparable
+from .worker import once
 
 # Remarks typed around a name; they are no part of it.
 REMARKS_BEFORE = ["old code:", "query", "pt:", "hx of", "new -", "re", "*", "?"]
@@ -29,7 +30,7 @@ SHORT_WORDS = {
 _TOKENS = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 SHARD_ENTRIES = 20_000  # entries in one tree; a longer list is sharded
-TASK_TEXTS = 6_000  # texts searched by one task
+TASK_TEXTS = 20_000  # texts searched by one task
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,31 @@ def words(text: str) -> list[str]:
     return _TOKENS.findall(text)
 
 
+def strip(text: str, settings: Settings) -> str:
+    """A comparable text without the remarks around it, again and again."""
+    text = text.replace("_", " ").strip()
+    while True:
+        start = text
+        for remark in settings.before:
+            tail = text[len(remark) :]
+            if text.startswith(remark) and (not remark[-1].isalnum() or not tail or not tail[0].isalnum()):
+                text = tail.lstrip(" ,;:-./")
+        for remark in settings.after:
+            if text.endswith(remark) and (not remark[0].isalnum() or len(text) == len(remark) or not text[-len(remark) - 1].isalnum()):
+                text = text[: -len(remark)].rstrip(" ,;:-")
+        if text == start:
+            return text
+
+
+def figures(text: str) -> tuple[str, ...]:
+    return tuple(sorted(_DIGITS.findall(text)))
+
+
 class Matcher:
     """One tree over all word rotations of the entries' names, and the entries' short forms, which match exactly only.
 
-    ``spread`` (entries a word is found in) and ``swaps`` are taken from ``entries``, unless those are only a part of the list.
+    ``spread`` (entries a word is found in) and ``swaps`` are taken from ``entries``, unless those are only a part of the list. A key's
+    radius in the tree is the greatest number of edits its words allow; texts and keys meet only if their figures are the same.
     """
 
     def __init__(self, entries: list[tuple[int, str, str | None]], settings: Settings, spread: Counter | None = None, swaps: dict[str, set[str]] | None = None):
@@ -69,24 +91,10 @@ class Matcher:
         for i, _, code in entries:
             if code and words(comparable(code)):
                 self.codes["".join(words(comparable(code)))].add(i)
-        self.tree = BKTree([*self.owners, *self.codes])
+        radius = dict.fromkeys(self.codes, 0) | {k: max(map(self.allowed, parts)) for k, parts in self.owners.items()}
+        self.tree = BKTree(list(radius), radius, {k: figures(k) for k in radius})
         self.longest = max(map(len, self.tree.keys), default=0) + settings.most
 
-    def strip(self, text: str) -> str:
-        """Without the remarks around it, again and again."""
-        text = text.replace("_", " ").strip()
-        while True:
-            start = text
-            for remark in self.settings.before:
-                tail = text[len(remark) :]
-                if text.startswith(remark) and (not remark[-1].isalnum() or not tail or not tail[0].isalnum()):
-                    text = tail.lstrip(" ,;:-./")
-            for remark in self.settings.after:
-                if text.endswith(remark) and (not remark[0].isalnum() or len(text) == len(remark) or not text[-len(remark) - 1].isalnum()):
-                    text = text[: -len(remark)].rstrip(" ,;:-")
-            if text == start:
-                return text
-
     def forms(self, text: str, deep: bool) -> list[str]:
         """The ways to read a stripped text: short words written out; if ``deep``, also those glued to the next or last word."""
         ws = words(text)
@@ -116,9 +124,7 @@ class Matcher:
         return min(self.settings.most, max(1, int(self.settings.share * longest)))
 
     def contradicted(self, form: str, parts: tuple[str, ...], d: int) -> bool:
-        """Whether another qualifier in the same place would fit no worse, or the figures differ."""
-        if sorted(_DIGITS.findall(form)) != sorted(_DIGITS.findall("".join(parts))):
-            return True
+        """Whether another qualifier in the same place would fit no worse."""
         if d == 0:
             return False
         for i, w in enumerate(parts):
@@ -127,23 +133,17 @@ class Matcher:
                     return True
         return False
 
-    @property
-    def reaches(self) -> tuple[tuple[bool, int], ...]:
-        return (False, 1), (False, self.settings.most), (True, self.settings.most)
-
     def match(self, texts: list[str], only: int | None = None) -> list[list[tuple[int, int]]]:
-        """Per text: every (entry, distance) of the closest reach that holds an uncontradicted one.
+        """Per stripped text: every uncontradicted (entry, distance) within the threshold.
 
-        Most texts have an entry within one edit; only the rest is searched at the full threshold, and what then is left
-        with short words taken apart. A farther entry can never win, so the closest ones are complete. ``only`` searches one reach.
+        Texts without one are read again with short words taken apart (``only``: 0 leaves that out, 1 does nothing else).
         """
-        stripped = [self.strip(comparable(t)) for t in texts]
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         todo = list(range(len(texts)))
-        for deep, reach in self.reaches if only is None else (self.reaches[only],):
-            forms = [(i, f) for i in todo for f in self.forms(stripped[i], deep)]
-            at, key, dist = self.tree.search([f for _, f in forms], np.full(len(forms), min(reach, self.settings.most)))
-            for a, k, d in sorted(zip(at.tolist(), key.tolist(), dist.tolist()), key=lambda x: x[2]):
+        for deep in (False, True) if only is None else (bool(only),):
+            forms = [(i, f) for i in todo for f in self.forms(texts[i], deep)]
+            at, key, dist = self.tree.search([f for _, f in forms], np.full(len(forms), self.settings.most), [figures(f) for _, f in forms])
+            for a, k, d in zip(at.tolist(), key.tolist(), dist.tolist()):
                 i, form = forms[a]
                 name = self.tree.keys[k]
                 owners = set(self.codes.get(name, ())) if d == 0 else set()
@@ -192,48 +192,56 @@ def _word_statistics(listed: DataFrame) -> DataFrame:
     return spread.join(pairs.groupBy("word").agg(F.collect_set("other").alias("others")), "word", "left")
 
 
-_FOUND = "text string, entry_id bigint, distance int, n_closest int"
+_FOUND = "stripped string, entry_id bigint, distance int, n_closest int"
 
 
 def _frame(texts: list[str], matches: list[list[tuple[int, int]]]) -> pd.DataFrame:
     won = [best(m) for m in matches]
     return pd.DataFrame(
-        {"text": pd.Series(texts, dtype=object), "entry_id": pd.array([w[0] for w in won], "Int64"), "distance": pd.array([w[1] for w in won], "Int32"), "n_closest": pd.array([w[2] for w in won], "Int32")}
+        {"stripped": pd.Series(texts, dtype=object), "entry_id": pd.array([w[0] for w in won], "Int64"), "distance": pd.array([w[1] for w in won], "Int32"), "n_closest": pd.array([w[2] for w in won], "Int32")}
     )
 
 
 def map_names(names: DataFrame, column: str, entries: DataFrame, *, entry_id: str = "canonical_id", entry_name: str = "canonical_name", short_form: str | None = "short_form", settings: Settings | None = None, shard_entries: int = SHARD_ENTRIES, partitions: int | None = None) -> DataFrame:
     """(text, entry_id, distance, n_closest): one row per distinct text of ``column``, entry_id null where none is meant.
 
-    The texts are made comparable, remarks around them removed and short words written out; the tree holds every rotation of
-    an entry's words, so words moved from one end to the other don't count as edits. Of the entries within the
+    The texts are made comparable and remarks around them removed; what is the same then is searched once. Short words are written out; the
+    tree holds every rotation of an entry's words, so words moved from one end to the other don't count as edits. Of all the entries within the
     threshold the closest wins; if several are equally close, entry_id is null and n_closest tells how many; n_closest 0 means
     no entry is near. Null texts give no row, empty ones an unmatched row. Entries with null or empty names match by
-    short form only. An entry list of up to ``shard_entries`` (counted) is broadcast as one tree. A longer one is split by a hash
-    of the id; every shard sees every text and what the whole list says of its own words, and the shards' closest entries merge
-    after each reach, before the rest is searched further. So the shards give the rows of one tree.
+    short form only. An entry list of up to ``shard_entries`` (counted) is broadcast as one tree, built once per Python worker. A longer one is
+    split by a hash of the id; every shard sees every text and what the whole list says of its own words, sends on its closest
+    entries, and these merge before the rest is read with short words taken apart. So the shards give the rows of one tree.
     """
     settings = settings or Settings()
     spark = names.sparkSession
     scratch = Scratch(spark, "names")
-    texts = scratch.cut(names.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct(), "texts")
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(stripped=[strip(comparable(t), settings) for t in batch["text"]])
+
+    texts = names.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct().mapInPandas(prepare, "text string, stripped string")
+    texts = scratch.cut(texts, "texts")
+    asked = texts.select("stripped").distinct()
+    asked, n_texts = scratch.counted(asked, "asked")
     code = F.col(short_form) if short_form else F.lit(None).cast("string")
     rows = entries.select(F.col(entry_id).cast("bigint").alias("id"), F.col(entry_name).alias("name"), code.alias("code")).where("id IS NOT NULL").distinct()
-    width = partitions or max(spark.sparkContext.defaultParallelism, -(-texts.count() // TASK_TEXTS))
-    n = rows.count()
+    rows, n = scratch.counted(rows, "entries")
+    width = partitions or max(spark.sparkContext.defaultParallelism, -(-n_texts // TASK_TEXTS))
     if n <= shard_entries:
         listed = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # counted above
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = Matcher(listed.value, settings)
+            tree = once(listed, lambda own: Matcher(own, settings))
             for batch in batches:
-                own = batch["text"].tolist()
+                own = batch["stripped"].tolist()
                 yield _frame(own, tree.match(own))
 
-        return texts.repartition(width).mapInPandas(search, _FOUND)
+        return texts.join(asked.repartition(width).mapInPandas(search, _FOUND), "stripped").drop("stripped")
     shards = -(-n // shard_entries)
     blocks = max(1, width // shards)
-    listed = scratch.cut(rows.mapInPandas(_split, "id bigint, name string, code string, ws array<string>").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "entries")
+    listed = scratch.cut(rows.mapInPandas(_split, "id bigint, name string, code string, ws array<string>").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "shards")
     own_words = listed.select("shard", F.explode("ws").alias("word")).distinct()
     about = own_words.join(_word_statistics(listed), "word").select("shard", "word", "n", "others")
     shared = listed.select("shard", F.col("id").cast("string").alias("id"), "name", "code").unionByName(about, allowMissingColumns=True)
@@ -241,25 +249,26 @@ def map_names(names: DataFrame, column: str, entries: DataFrame, *, entry_id: st
 
     def search_shard(reach: int):
         def shard(texts_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
-            own = texts_["text"].tolist()
+            own = texts_["stripped"].tolist()
             about, listed = entries_[entries_["word"].notna()], entries_[entries_["id"].notna()]
             listed = [(int(i), *(None if pd.isna(x) else x for x in nc)) for i, *nc in zip(listed["id"], listed["name"], listed["code"])]
             spread = Counter(dict(zip(about["word"], about["n"].astype(int))))
             swaps = {w: set(x) for w, x in zip(about["word"], about["others"]) if x is not None}
             matches = Matcher(listed, settings, spread, swaps).match(own, reach) if own else []
-            flat = [(t, i, d) for t, m in zip(own, matches) for i, d in m]
-            return pd.DataFrame({"text": pd.Series([f[0] for f in flat], dtype=object), "entry_id": pd.array([f[1] for f in flat], "Int64"), "distance": pd.array([f[2] for f in flat], "Int32")})
+            flat = [(t, i, d) for t, m in zip(own, matches) for i, d in set(m) if d == min(x for _, x in m)]
+            return pd.DataFrame({"stripped": pd.Series([f[0] for f in flat], dtype=object), "entry_id": pd.array([f[1] for f in flat], "Int64"), "distance": pd.array([f[2] for f in flat], "Int32")})
 
         return shard
 
-    left, parts = texts, None
-    for reach in range(3):
-        asked = left.select("text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        met = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(search_shard(reach), "text string, entry_id bigint, distance int")
+    left, parts = asked, None
+    for reach in range(2):
+        sent = left.select("stripped", F.pmod(F.xxhash64("stripped"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        met = sent.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(search_shard(reach), "stripped string, entry_id bigint, distance int")
         met = scratch.cut(met, "met")
         parts = met if parts is None else parts.unionByName(met)
-        left = scratch.cut(left.join(met.select("text").distinct(), "text", "left_anti"), "left")
-    closest = parts.groupBy("text").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "entry_id")).alias("all"))
+        left = scratch.cut(left.join(met.select("stripped").distinct(), "stripped", "left_anti"), "left")
+    closest = parts.groupBy("stripped").agg(F.min("distance").alias("distance"), F.collect_set(F.struct("distance", "entry_id")).alias("all"))
     won = F.filter("all", lambda x: x["distance"] == F.col("distance"))
-    found = closest.select("text", F.when(F.size(won) == 1, F.element_at(won, 1)["entry_id"]).alias("entry_id"), "distance", F.size(won).alias("n_closest"))
-    return found.unionByName(left.select("text", F.lit(None).cast("bigint").alias("entry_id"), F.lit(None).cast("int").alias("distance"), F.lit(0).alias("n_closest")))
+    found = closest.select("stripped", F.when(F.size(won) == 1, F.element_at(won, 1)["entry_id"]).alias("entry_id"), "distance", F.size(won).alias("n_closest"))
+    found = found.unionByName(left.select("stripped", F.lit(None).cast("bigint").alias("entry_id"), F.lit(None).cast("int").alias("distance"), F.lit(0).alias("n_closest")))
+    return texts.join(found, "stripped").drop("stripped")
