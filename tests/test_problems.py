@@ -16,9 +16,8 @@ def at(day, hour=0, month=1):
     return datetime(2022, month, day, hour)
 
 
-@pytest.mark.parametrize("encode,dense", [("identity", 0), ("identity", 1000), ("dictionary", 0), ("dictionary", 1000)])
-def test_orphans(spark, encode, dense, monkeypatch):
-    monkeypatch.setattr("vocabgraph.operators.orphans.DENSE", dense)
+@pytest.mark.parametrize("encode", ["identity", "dictionary"])
+def test_orphans(spark, encode):
     rng = random.Random(3)
     ids = [-5, 0, 7, 40_000, 70_000, 10**12]
     parents = [(rng.choice(ids), at(rng.randrange(1, 28), rng.randrange(24), rng.randrange(1, 4)), rng.choice([None, "D", "U"]), "x") for _ in range(14)] + [(None, at(1), None, "x"), (99, None, None, "x")]
@@ -48,6 +47,17 @@ def test_orphans(spark, encode, dense, monkeypatch):
     assert sum(r.n_keys for r in report) == len(want)
 
 
+def test_orphans_of_a_dense_hot_range_and_many_sparse_ones(spark):
+    """Words full of references beside words of one bit, all bits of a word, the sign bit among them; a hot key a thousand times."""
+    parent = spark.createDataFrame([(k, at(1 + k % 3), "D" if k % 50 == 0 else None) for k in range(-64, 512) if k % 7] + [(10_000 * k, at(5), None) for k in range(3, 40, 2)], "id long, loaded_at timestamp, invalid_reason string")
+    rows = [(k, at(2, 1)) for k in range(-70, 520)] + [(10_000 * k, at(4)) for k in range(3, 40)] + [(3, at(2, 3))] * 1000
+    ref = spark.createDataFrame(rows, "id long, loaded_at timestamp")
+    got = {(r.key, r.reason) for r in orphan_references([Reference(ref, "t", "id")], parent, "id").collect()}
+    known = {k: (1 + k % 3, k % 50 == 0) for k in range(-64, 512) if k % 7} | {10_000 * k: (5, False) for k in range(3, 40, 2)}
+    want = {(k, "missing" if k not in known else "deleted" if known[k][1] else "late") for k, when in rows if k not in known or known[k][1] or at(known[k][0]) > when}
+    assert got == want and {"missing", "deleted", "late"} == {r for _, r in want}
+
+
 def test_orphans_of_text_keys_and_empty_tables(spark):
     parent = spark.createDataFrame([("a", at(1), None)], "id string, loaded_at timestamp, invalid_reason string")
     ref = spark.createDataFrame([("a", at(2)), ("b", at(2)), ("", at(2))], "id string, loaded_at timestamp")

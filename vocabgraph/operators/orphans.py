@@ -1,26 +1,25 @@
 """References to records that do not exist, found with compressed bitmaps per key range and period.
 
 A key is encoded as an integer: integral keys stand for themselves, other keys get codes from a dictionary. The high bits of
-a code name its key range, the low 15 bits its position there. References and parents become one container per range and
-period, built with partial aggregation in the JVM: a bitmap of 4 KB, or, where a container would hold few bits, the array
-of its positions (what compressed bitmaps do for sparse ranges). One group per range then computes ``references AND NOT parents
-delivered in time``. A group's size is bounded by ranges x periods, not by rows, so a hot key costs one bit. The bits that
-survive are decoded, and only they are compared row by row to name the reason.
+a code name its key range, the low 6 bits its place there. A bitmap holds the keys that a field refers to in a month, or the parents
+delivered on a day, and is stored as its 64-bit words that aren't zero, one row each: dense stretches cost a bit a key, sparse ones
+a word, each word by itself. Words are built by partial aggregation (``bit_or``) in the JVM, so a hot key costs one bit. Within a key range
+the words are put in the order of time; a running ``bit_or`` of the parents gives what was delivered so far, and ``references AND NOT parents``
+what wasn't. A range has at most one word per field and period, whatever the rows. The bits that survive are decoded, and
+only they are compared row by row to name the reason.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-RANGE_BITS = 15  # bitmap_construct_agg holds 2^15 bits
-DENSE = 1_000  # from so many rows a container on, a bitmap is smaller than the array of positions
+WORD_BITS = 6  # a key range is what one 64-bit word holds
+NEVER = 2**62
 
 
 @dataclass(frozen=True)
@@ -48,46 +47,21 @@ def dictionary(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(coded, "dictionary")
 
 
-def _containers(coded: DataFrame, group: list[str], at: str, edge) -> DataFrame:
-    """(group, key_range, bits, places, edge): bits is a bitmap, or null where places is the array of positions instead."""
-    split = coded.select(*group, at, F.shiftright("code", RANGE_BITS).alias("key_range"), F.col("code").bitwiseAND((1 << RANGE_BITS) - 1).alias("bit"))
-    size = split.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key_range").alias("ranges"), *[F.approx_count_distinct(c).alias(f"_{c}") for c in group]).first()
-    slots = 1
-    for v in size[1:]:
-        slots *= max(1, v)
-    by = split.groupBy(*group, "key_range")
-    if size["n"] / slots >= DENSE:
-        return by.agg(F.bitmap_construct_agg("bit").alias("bits"), F.lit(None).cast("array<int>").alias("places"), edge(at).alias("edge"))
-    return by.agg(F.lit(None).cast("binary").alias("bits"), F.collect_set(F.col("bit").cast("int")).alias("places"), edge(at).alias("edge"))
-
-
-def _positions(bits: bytes | None, places) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) if places is None else np.asarray(places, np.int64)
-
-
-def _not_covered(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
-    """One key range: positions of each reference container without a parent delivered up to it."""
-    found = [pd.DataFrame({"origin_table": pd.Series(dtype=object), "ref_field": pd.Series(dtype=object), "period": pd.Series(dtype=object), "code": pd.Series(dtype=np.int64)})]
-    if refs.empty:
-        return found[0]
-    low = int(key[0]) << RANGE_BITS
-    parents = parents.sort_values("period", kind="stable", na_position="first")
-    stack = [(p, e, _positions(b, x)) for p, e, b, x in zip(parents["period"], parents["edge"], parents["bits"], parents["places"])]
-    at, covered = 0, np.zeros(1 << RANGE_BITS, bool)
-    for period, own in refs.sort_values("period", kind="stable").groupby("period", sort=True):
-        while at < len(stack) and (pd.isna(stack[at][0]) or stack[at][0] < period):
-            covered[stack[at][2]] = True
-            at += 1
-        for table, field, first, bits, places in zip(own["origin_table"], own["ref_field"], own["edge"], own["bits"], own["places"]):
-            asked = _positions(bits, places)
-            left = asked[~covered[asked]]
-            if len(left) and at < len(stack) and stack[at][0] == period and stack[at][1] <= first:
-                today = np.zeros(1 << RANGE_BITS, bool)
-                today[stack[at][2]] = True
-                left = left[~today[left]]
-            if len(left):
-                found.append(pd.DataFrame({"origin_table": table, "ref_field": field, "period": period, "code": (low + left).astype(np.int64)}))
-    return pd.concat(found[1:] or found, ignore_index=True)
+def _words(coded: DataFrame, group: list[str], at: str, edge) -> DataFrame:
+    """(group, key_range, bits, edge): the words of one bitmap per ``group``; ``edge`` aggregates the times of a word."""
+    bit = F.expr(f"shiftleft(1L, cast(code & {(1 << WORD_BITS) - 1} AS int))")
+    return coded.groupBy(*group, F.shiftright("code", WORD_BITS).alias("key_range")).agg(F.bit_or(bit).alias("bits"), edge(at).alias("edge"))
+
+
+def _not_covered(refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """(origin, period, code) of reference bits whose parent isn't in a word completed before the reference word's first row."""
+    both = refs.select("key_range", "origin", "period", "bits", "edge", F.lit(1).alias("turn"))
+    both = both.unionByName(parents.select("key_range", F.lit(None).cast("int").alias("origin"), F.lit(None).cast("string").alias("period"), "bits", "edge", F.lit(0).alias("turn")))
+    so_far = Window.partitionBy("key_range").orderBy("edge", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    there = F.coalesce(F.bit_or(F.when(F.col("turn") == 0, F.col("bits"))).over(so_far), F.lit(0).cast("long"))
+    left = both.withColumn("left", F.col("bits").bitwiseAND(F.bitwise_not(there))).where("turn = 1 AND left <> 0")
+    places = F.expr(f"filter(sequence(0, {(1 << WORD_BITS) - 1}), i -> (shiftrightunsigned(left, i) & 1) = 1)")
+    return left.select("origin", "period", "key_range", F.explode(places).alias("place")).select("origin", "period", (F.shiftleft("key_range", WORD_BITS) + F.col("place")).alias("code"))
 
 
 def orphan_references(references: list[Reference], parent: DataFrame, key: str, *, loaded_at: str = "loaded_at", invalid: str = "invalid_reason", encode: str = "identity") -> DataFrame:
@@ -103,8 +77,8 @@ def orphan_references(references: list[Reference], parent: DataFrame, key: str,
     scratch = Scratch(spark, "orphans")
     state = parent_state(parent, key, loaded_at, invalid)
     refs = None
-    for r in references:
-        part = r.frame.select(F.lit(r.table).alias("origin_table"), F.lit(r.field).alias("ref_field"), F.col(r.field).alias("key"), F.col(r.loaded_at).alias("at")).where("key IS NOT NULL")
+    for n, r in enumerate(references):
+        part = r.frame.select(F.lit(n).alias("origin"), F.col(r.field).alias("key"), F.col(r.loaded_at).alias("at")).where("key IS NOT NULL")
         refs = part if refs is None else refs.unionByName(part)
     if refs is None:
         raise ValueError("no references given")
@@ -114,23 +88,20 @@ def orphan_references(references: list[Reference], parent: DataFrame, key: str,
     else:
         coded = refs.withColumn("code", F.col("key").cast("long"))
         coded_state = state.withColumn("code", F.col("key").cast("long"))
-    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("9999"))
     number = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ref_bits = _containers(coded.withColumn("period", day("at")).withColumn("micros", F.coalesce(number("at"), F.lit(2**62))), ["origin_table", "ref_field", "period"], "micros", F.min)
-    alive = coded_state.where("NOT deleted").withColumn("period", F.date_format("first_at", "yyyy-MM-dd")).withColumn("micros", F.coalesce(number("first_at"), F.lit(-(2**62))))
-    parent_bits = _containers(alive, ["period"], "micros", F.max)
-    left = ref_bits.groupBy("key_range").cogroup(parent_bits.groupBy("key_range")).applyInPandas(_not_covered, "origin_table string, ref_field string, period string, code bigint")
+    month = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit(""))
+    asked = _words(coded.select("origin", "code", month("at").alias("period"), F.coalesce(number("at"), F.lit(NEVER)).alias("micros")), ["origin", "period"], "micros", F.min)
+    alive = coded_state.where("NOT deleted").select("code", F.to_date("first_at").alias("day"), F.coalesce(number("first_at"), F.lit(-NEVER)).alias("micros"))
+    left = _not_covered(asked, _words(alive, ["day"], "micros", F.max))
     left = left.join(codes, "code") if encode == "dictionary" else left.withColumn("key", F.col("code").cast(parent.schema[key].dataType))
-    # every survivor is a case, or may be one within its day: the row's own time decides
+    # every survivor is a case, or may be one within its month: the row's own time decides
     survivors = left.join(state, "key", "left").withColumn("reason", F.when(F.col("deleted").isNull(), "missing").when(F.col("deleted"), "deleted").otherwise("late"))
-    survivors = scratch.cut(survivors.select("origin_table", "ref_field", "key", "period", "first_at", "reason"), "survivors")
-    sure = survivors.where("reason <> 'late'")
+    survivors = scratch.cut(survivors.select("origin", "key", "period", "first_at", "reason"), "survivors")
+    sure = survivors.where("reason <> 'late'").select("origin", "key", "period", "reason")
     dubious = survivors.where("reason = 'late'")
-    rows = refs.withColumn("period", day("at"))
-    late = rows.join(dubious, ["origin_table", "ref_field", "key", "period"]).where("at < first_at").select("origin_table", "ref_field", "key", "period", "reason")
-    cases = sure.select("origin_table", "ref_field", "key", "period", "reason").unionByName(late)
-    month = F.when(F.col("period") != "9999", F.substring("period", 1, 7))
-    return cases.select("origin_table", "ref_field", "key", month.alias("load_month"), "reason").distinct()
+    late = refs.withColumn("period", month("at")).join(dubious, ["origin", "key", "period"]).where("at < first_at").select("origin", "key", "period", "reason").distinct()
+    table, field = (F.array(*[F.lit(getattr(r, x)) for r in references])[F.col("origin")] for x in ("table", "field"))
+    return sure.unionByName(late).select(table.alias("origin_table"), field.alias("ref_field"), "key", F.when(F.col("period") != "", F.col("period")).alias("load_month"), "reason").distinct()
 
 
 def orphan_report(cases: DataFrame) -> DataFrame:
