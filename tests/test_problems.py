@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vocabgraph.operators.forest import closure_findings, hierarchy
 from vocabgraph.operators.orphans import Reference, orphan_references, orphan_report
-from vocabgraph.operators.skew import eager_join_aggregate, heavy_keys, key_profile, row_counts
+from vocabgraph.operators.skew import eager_join_aggregate, heavy_join_keys, joined_states, key_profile, row_counts
 
 
 def at(day, hour=0, month=1):
@@ -135,9 +135,13 @@ def test_heavy_keys_and_profiles(spark):
     want = {k: (sum(r[0] == k for r in rows), len({r[1] for r in rows if r[0] == k} - {None}), len({r[2] for r in rows if r[0] == k} - {None})) for k in (1, 2, 3)}
     assert profile == want
     assert {r.k: r.n_rows for r in row_counts(df, "k").collect()} == {k: v[0] for k, v in want.items()}
-    share = {r.k for r in heavy_keys(df, "k", 0.3).collect()}
-    assert share == {k for k, v in want.items() if v[0] >= 0.3 * len(rows)}
-    assert heavy_keys(df.limit(0), "k", 0.1).count() == 0 and key_profile(df.limit(0), "k", {"v": "v"}).count() == 0 and key_profile(df, "k", {}).count() == 3
+    share = {(r.key, r.side) for r in heavy_join_keys(df, df.where("k <> 2"), "k", "k", 0.3).collect()}
+    others = [r for r in rows if r[0] not in (2, None)]
+    assert share == {(k, "left") for k, v in want.items() if v[0] >= 0.3 * len(rows)} | {(k, "right") for k in (1, 3) if sum(r[0] == k for r in others) >= 0.3 * len(others)}
+    states = {r.key: (r.n_left, r.n_right, r.n_pairs) for r in joined_states(df, df.where("k IS NULL OR k <> 2"), "k", "k").collect()}
+    counts = Counter(r[0] for r in rows)
+    assert states == {k: (n, 0 if k == 2 else n, 0 if k in (2, None) else n * n) for k, n in counts.items()}
+    assert heavy_join_keys(df.limit(0), df.limit(0), "k", "k", 0.1).count() == 0 and key_profile(df.limit(0), "k", {"v": "v"}).count() == 0 and key_profile(df, "k", {}).count() == 3
 
 
 def test_eager_aggregation_equals_the_join(spark):

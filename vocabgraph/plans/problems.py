@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.forest import closure_findings, hierarchy
 from ..operators.orphans import Reference, orphan_references, orphan_report
-from ..operators.skew import eager_join_aggregate, heavy_keys, key_profile
+from ..operators.skew import eager_join_aggregate, heavy_join_keys, key_profile
 
 HEAVY_SHARE = 0.02
 
@@ -53,11 +53,18 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        heavy_keys(_read(spark, sf_dir, table), key, HEAVY_SHARE).select(F.lit(table).alias("origin_table"), F.col(key).alias("concept_id"))
-        for table, key in (("concept_relationship", "concept_id_1"), ("concept_ancestor", "ancestor_concept_id"))
-    ]
-    return parts[0].unionByName(parts[1])
+    """Heavy keys of both tables, from the joined states of their join on the concept."""
+    return _heavy(spark, sf_dir).select("origin_table", "concept_id")
+
+
+def p6_heavy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy keys with their rows and the pairs that they would join to."""
+    return _heavy(spark, sf_dir).select("origin_table", "concept_id", "n_rows", "n_pairs")
+
+
+def _heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = heavy_join_keys(_read(spark, sf_dir, "concept_relationship"), _read(spark, sf_dir, "concept_ancestor"), "concept_id_1", "ancestor_concept_id", HEAVY_SHARE)
+    return found.select(F.when(F.col("side") == "left", "concept_relationship").otherwise("concept_ancestor").alias("origin_table"), F.col("key").alias("concept_id"), "n_rows", "n_pairs")
 
 
 def p6_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def p6_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_hierarchy, p6_found, p6_key_profile, p6_join_rollup)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_hierarchy, p6_found, p6_heavy_pairs, p6_key_profile, p6_join_rollup)}
 
 _ORPHANS = """
 WITH state AS (
@@ -134,6 +141,10 @@ ORACLE = {
       GROUP BY concept_id_1 HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_relationship)
     UNION ALL SELECT 'concept_ancestor', ancestor_concept_id FROM concept_ancestor WHERE ancestor_concept_id IS NOT NULL
       GROUP BY ancestor_concept_id HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_ancestor)""",
+    "p6_heavy_pairs": f"""
+    WITH l AS (SELECT concept_id_1 AS k, count(*) AS n FROM concept_relationship GROUP BY 1), r AS (SELECT ancestor_concept_id AS k, count(*) AS n FROM concept_ancestor GROUP BY 1)
+    SELECT 'concept_relationship' AS origin_table, l.k AS concept_id, l.n AS n_rows, l.n * coalesce(r.n, 0) AS n_pairs FROM l LEFT JOIN r ON r.k = l.k WHERE l.k IS NOT NULL AND l.n >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_relationship)
+    UNION ALL SELECT 'concept_ancestor', r.k, r.n, r.n * coalesce(l.n, 0) FROM r LEFT JOIN l ON l.k = r.k WHERE r.k IS NOT NULL AND r.n >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_ancestor)""",
     "p6_key_profile": "SELECT concept_id_1, count(*) AS n_rows, count(DISTINCT concept_id_2) AS n_partners, count(DISTINCT relationship_id) AS n_kinds FROM concept_relationship WHERE concept_id_1 IS NOT NULL GROUP BY concept_id_1",
     "p6_join_rollup": "SELECT r.relationship_id, count(*) AS n_pairs, CAST(sum(a.min_levels_of_separation) AS BIGINT) AS sum_levels FROM concept_relationship r JOIN concept_ancestor a ON a.ancestor_concept_id = r.concept_id_1 GROUP BY r.relationship_id",
 }
