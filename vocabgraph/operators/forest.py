@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 SMALL_ROWS = 50_000  # a side with at most this many (id, id) rows may be broadcast
+WORTH = 0.25  # share of the links left that a peeling round must remove to be followed by another
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -19,8 +20,8 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 @dataclass
 class Peeled:
-    """``edges``: (child, parent, child_height, parent_height), self links and repeats removed, height null on nodes that were
-    never peeled; ``heights``: number of peeling rounds; ``loops``: (node) of links from a node to itself."""
+    """``edges``: (child, parent, child_height, parent_height), self links and repeats removed, height null on nodes of the
+    residue; ``heights``: number of peeling rounds; ``loops``: (node) of links from a node to itself; ``stuck``: whether there is a residue."""
 
     edges: DataFrame
     heights: int
@@ -37,8 +38,10 @@ def peel(links: DataFrame, scratch: Scratch, *, child: str = "child", parent: st
     """Heights by bottom-up leaf peeling: in each round the nodes without remaining children are removed.
 
     A link survives a round when its child has a child of its own among the links left; a node's height is the number of
-    rounds it began as a parent. Links that no longer shrink hang on cycles: their parents keep a null height. Each
-    round is one job over the links left, which shrink fast; its row count comes with the write.
+    rounds it began as a parent. Peeling ends when no link is left, or when a round removes less than ``WORTH`` of those
+    left: what remains, cycles and what lies above them, long chains and other tall and thin stretches, is the residue, whose parents keep a
+    null height. So rounds grow with the logarithm of the number of links, not with the height. Each round is one job over the links
+    left; its row count comes with the write.
     """
     spark = scratch.spark
     every = scratch.cut(clean_links(links, child, parent), "links")
@@ -53,13 +56,12 @@ def peel(links: DataFrame, scratch: Scratch, *, child: str = "child", parent: st
         else:
             parents = left.select(F.col("parent").alias("child"))
             kept = left.join(_bounded(parents, alive) if alive <= SMALL_ROWS else parents.distinct(), "child", "left_semi").select("child", "parent")
-        scratch.tidy()
         seen = Observation()
         kept.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{place}/round={height}")
         remaining = seen.get["n"]
         if remaining == 0:
             break
-        if remaining == alive:
+        if alive is not None and remaining > (1 - WORTH) * alive:
             stuck = True
             break
         alive = remaining
@@ -82,13 +84,13 @@ def peel(links: DataFrame, scratch: Scratch, *, child: str = "child", parent: st
     return Peeled(out, highest, loops, stuck)
 
 
-def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Every node reached downward, as (ways, selves). ways: (node, descendant, distance), in which the smallest distance of a pair
-    is the smallest number of links; selves: (node) that reach themselves.
+def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Every node reached downward, as (ways, selves, residue). ways: (node, descendant, distance), in which the smallest distance of a pair
+    is the smallest number of links; selves: (node) that reach themselves; residue: (top, node, far), the ways within the residue, if there is one.
 
     A peeled node merges the lists of its children, each one link longer, and sends its own list on to its parents. A message is
-    written once into the folder of its receiver's height and read once in that height's round. Nodes that were never
-    peeled reach one another breadth first and pass their lists along these ways; one that reaches itself lies on a cycle.
+    written once into the folder of its receiver's height and read once in that height's round. The ways within the residue
+    come from ``_doubled``; the lists that reach the residue are handed along them once.
     """
     spark, edges = scratch.spark, peeled.edges
     stuck_height = peeled.heights + 1
@@ -99,15 +101,15 @@ def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     box = ["node", "descendant", "distance"]
 
     def send(messages: DataFrame) -> None:
-        scratch.tidy()
         messages.select(*box, "at").write.mode("append").partitionBy("at").parquet(place)
 
     def inbox(height: int) -> DataFrame:
-        read = spark.read.schema(schema).parquet(f"{place}/at={height}").select(*box)
+        read = spark.read.schema(schema + ", at int").parquet(place).where(F.col("at") == height).select(*box)
         return read.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
 
     # every link is itself a message: the child tells its parents of itself
-    send(edges.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"), target.alias("at")))
+    outside = edges.where("child_height IS NOT NULL OR parent_height IS NOT NULL")
+    send(outside.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"), target.alias("at")))
     per_height = {r["child_height"]: r["n"] for r in edges.where("child_height > 0").groupBy("child_height").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per height
     for height in range(1, peeled.heights + 1):
         if per_height.get(height):
@@ -115,34 +117,75 @@ def descendants(peeled: Peeled, scratch: Scratch) -> tuple[DataFrame, DataFrame]
             send(inbox(height).join(_bounded(up, per_height[height]), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"), "at"))
     whole = spark.read.schema(schema + ", at int").parquet(place).select(*box)
     if not peeled.stuck:
-        return whole, whole.select("node").limit(0)
-    # among the nodes never peeled, few as a rule, the ways are found breadth first; then each list is handed on once
-    between = scratch.cut(edges.where("child_height IS NULL AND parent_height IS NULL").select(F.col("child").alias("top"), F.col("parent").alias("next")), "cyclic-links")
-    n_between = between.count()
-    known = fresh = scratch.cut(between.select(F.col("next").alias("top"), F.col("top").alias("node"), F.lit(1).alias("far")), "cyclic-ways")
-    while True:
-        step = fresh.join(_bounded(between, n_between), "top").select(F.col("next").alias("top"), "node", (F.col("far") + 1).alias("far")).distinct()
-        fresh = scratch.cut(step.join(known.select("top", "node"), ["top", "node"], "left_anti"), "cyclic-ways")
-        if fresh.isEmpty():
+        return whole, whole.select("node").limit(0), None
+    known, n_known = _doubled(edges.where("child_height IS NULL AND parent_height IS NULL").select("child", "parent"), scratch)
+    handed = inbox(stuck_height).join(_bounded(known, n_known), "node").select(F.col("top").alias("node"), "descendant", (F.col("distance") + F.col("far")).alias("distance"))
+    whole = whole.unionByName(known.select(F.col("top").alias("node"), F.col("node").alias("descendant"), F.col("far").alias("distance"))).unionByName(handed)
+    return whole, known.where("top = node").select("node"), known
+
+
+def _doubled(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((top, node, far), rows): all ways along ``links`` (child, parent), far the smallest number of links; written.
+
+    Each round doubles the distance covered: a way of up to 2L links is a shortest one of exactly L links and one of up to L more,
+    so only ways of exactly L are joined with the rest, and rounds grow with the logarithm of the longest way, on cycles too.
+    """
+    known, n = scratch.counted(links.select(F.col("parent").alias("top"), F.col("child").alias("node"), F.lit(1).alias("far")), "ways")
+    reach = 1
+    while n:
+        first = known.where(F.col("far") == reach).select(F.col("top").alias("via"), "node")
+        then = known.select("top", F.col("node").alias("via"), F.col("far").alias("more"))
+        longer = first.join(then, "via").select("top", "node", (F.col("more") + reach).alias("far"))
+        after, n_after = scratch.counted(known.unionByName(longer).groupBy("top", "node").agg(F.min("far").alias("far")), "ways")
+        scratch.drop(known)
+        known, before, n, reach = after, n, n_after, 2 * reach
+        if n == before:
             break
-        known = known.unionByName(fresh)
-    known = scratch.cut(known, "cyclic-ways")
-    handed = inbox(stuck_height).join(_bounded(known, known.count()), "node").select(F.col("top").alias("node"), "descendant", (F.col("distance") + F.col("far")).alias("distance"))
-    return whole.unionByName(handed), known.where("top = node").select("node")
+    return known, n
+
+
+def _residue_places(known: DataFrame, links: DataFrame, tops: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, depth, root, path) of the residue's nodes below ``tops`` (node): depths from the ways, parents by least depth and id, paths by
+    pointer jumping, each round doubling the stretch of path known."""
+    own = tops.select("node", F.lit(0).alias("depth"))
+    depth = scratch.cut(known.join(tops.withColumnRenamed("node", "top"), "top", "left_semi").groupBy("node").agg(F.min("far").alias("depth")).unionByName(own), "depths")
+    above = links.join(depth.select(F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth")), "parent").join(depth.withColumnRenamed("node", "child"), ["child", "depth"])
+    chosen = above.groupBy("child").agg(F.min("parent").alias("next")).withColumnRenamed("child", "node")
+    stretch, n_open = scratch.measured(own.select("node", F.lit(None).cast(own.schema["node"].dataType).alias("next")).unionByName(chosen).withColumn("path", F.array("node")), "stretches", n=F.count("next"))
+    while n_open["n"]:
+        higher = stretch.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("path").alias("_path"))
+        after = stretch.join(higher, "next", "left").select("node", F.col("_next").alias("next"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+        longer, n_open = scratch.measured(after, "stretches", n=F.count("next"))
+        scratch.drop(stretch)
+        stretch = longer
+    return stretch.select("node", (F.size("path") - 1).alias("depth"), F.element_at("path", 1).alias("root"), "path")
+
+
+def all_descendants(links: DataFrame, *, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, descendant, distance): every node reached downward with the smallest number of links, a node on a cycle with itself among them.
+
+    Rows with a null end are dropped, repeats count once; an empty table gives no rows.
+    """
+    scratch = Scratch(links.sparkSession, "descendants")
+    peeled = peel(links, scratch, child=child, parent=parent)
+    ways, _, _ = descendants(peeled, scratch)
+    loops = peeled.loops.select("node", F.col("node").alias("descendant"), F.lit(1).alias("distance"))
+    return ways.unionByName(loops).groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
 
 
 def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent") -> DataFrame:
     """(node, depth, root, path, n_descendants, on_cycle), one row per node that occurs in a link.
 
     depth is the smallest number of links up to a root; with several parents the path follows the parent of least depth,
-    then least id. Paths are arrays of ids from the root to the node. Peeled nodes get theirs in reverse peel order. Nodes
-    on a cycle, and nodes all of whose upward ways end in one, have null depth, root and path. Links of a node to itself
+    then least id. Paths are arrays of ids from the root to the node. Peeled nodes get theirs in reverse peel order, those of the
+    residue before by ``_residue_places``. Nodes
+    on a cycle, and nodes all of whose upward ways come from one, have null depth, root and path. Links of a node to itself
     count as cycles only. Rows with a null end are dropped, repeats count once; an empty table gives no rows.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
     peeled = peel(links, scratch, child=child, parent=parent)
-    ways, selves = descendants(peeled, scratch)
+    ways, selves, residue = descendants(peeled, scratch)
     cyclic = scratch.cut(selves.unionByName(peeled.loops).distinct(), "cyclic")
     sizes = ways.where("node <> descendant").select("node", "descendant").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_descendants"))
     edges = peeled.edges
@@ -157,7 +200,6 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
     offer = f"child {kind}, depth int, node {kind}, root {kind}, path array<{kind}>"
 
     def send(rows: DataFrame, links: DataFrame) -> None:
-        scratch.tidy()
         rows.join(links, "node").select("child", "depth", "node", "root", "path", "at").write.mode("append").partitionBy("at").parquet(place)
 
     def best(offers: DataFrame) -> DataFrame:
@@ -165,15 +207,9 @@ def hierarchy(links: DataFrame, *, child: str = "child", parent: str = "parent")
         return won.select(F.col("child").alias("node"), (F.col("b.depth") + 1).alias("depth"), F.col("b.root").alias("root"), F.concat("b.path", F.array("child")).alias("path"))
 
     stuck_placed = placed.where("height IS NULL").drop("height")
-    if peeled.stuck:  # breadth first: unpeeled nodes have no order of their own
-        inner = down.where("parent_height = -1 AND at = -1").select("node", "child")
-        frontier = stuck_placed
-        while True:
-            step = best(frontier.join(inner, "node").select("child", "depth", "node", "root", "path"))
-            frontier = scratch.cut(step.join(stuck_placed.select("node"), "node", "left_anti"), "stuck")
-            if frontier.isEmpty():
-                break
-            stuck_placed = stuck_placed.unionByName(frontier)
+    if residue is not None:
+        inner = edges.where("child_height IS NULL AND parent_height IS NULL").select("child", "parent")
+        stuck_placed = scratch.cut(_residue_places(residue, inner, stuck_placed.select("node"), scratch), "residue")
     send(stuck_placed, down.where("parent_height = -1 AND at >= 0").drop("parent_height"))
     send(placed.where("height IS NOT NULL"), down.where("parent_height >= 0").drop("parent_height"))
     # reverse peel order: a node's parents are all higher, so its box is complete when its height comes
@@ -195,7 +231,7 @@ def closure_findings(links: DataFrame, stated: DataFrame, nodes: DataFrame) -> D
     """
     scratch = Scratch(links.sparkSession, "closure")
     peeled = peel(links, scratch)
-    ways, selves = descendants(peeled, scratch)
+    ways, selves, _ = descendants(peeled, scratch)
     cycles = selves.unionByName(peeled.loops).distinct().withColumn("finding", F.lit("cycle"))
     # one aggregation instead of an outer join: a pair is in order if both sides know it and all distances are the same
     none = F.lit(None).cast("int")

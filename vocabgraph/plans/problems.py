@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.forest import closure_findings, hierarchy
+from ..operators.forest import all_descendants, closure_findings, hierarchy
 from ..operators.orphans import Reference, orphan_references, orphan_report
 from ..operators.skew import eager_join_aggregate, heavy_join_keys, key_profile
 
@@ -52,6 +52,11 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select(F.col("node").alias("concept_id"), F.col("depth").cast("long").alias("depth"), F.col("root").alias("root_id"), path.alias("path"), "n_descendants", "on_cycle")
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every concept below each concept, with the smallest number of links."""
+    return all_descendants(upward_links(spark, sf_dir)).select(F.col("node").alias("concept_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heavy keys of both tables, from the joined states of their join on the concept."""
     return _heavy(spark, sf_dir).select("origin_table", "concept_id")
@@ -79,7 +84,7 @@ def p6_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_hierarchy, p6_found, p6_heavy_pairs, p6_key_profile, p6_join_rollup)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_heavy_pairs, p6_key_profile, p6_join_rollup)}
 
 _ORPHANS = """
 WITH state AS (
@@ -136,6 +141,7 @@ ORACLE = {
     SELECT n.node AS concept_id, CASE WHEN c.node IS NULL THEN CAST(d.depth AS BIGINT) END AS depth, CASE WHEN c.node IS NULL THEN p.root END AS root_id, CASE WHEN c.node IS NULL THEN p.path END AS path,
       coalesce(b.n, 0) AS n_descendants, c.node IS NOT NULL AS on_cycle
     FROM nodes n LEFT JOIN placed d ON d.node = n.node LEFT JOIN paths p ON p.node = n.node LEFT JOIN below b ON b.node = n.node LEFT JOIN cyclic c ON c.node = n.node""",
+    "p5_descendants": _REACH + " SELECT top AS concept_id, node AS descendant_id, CAST(n AS BIGINT) AS distance FROM reach",
     "p6_found": f"""
     SELECT 'concept_relationship' AS origin_table, concept_id_1 AS concept_id FROM concept_relationship WHERE concept_id_1 IS NOT NULL
       GROUP BY concept_id_1 HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM concept_relationship)

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-TIDY_ROUNDS = 12
 _FALLBACK: dict[str, str] = {}
 
 
@@ -33,7 +32,6 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._rounds = 0
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -42,7 +40,6 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` once as Parquet and return a frame that reads it: later failures recompute from the files."""
-        self.tidy()
         path = self.path(name)
         writer = df.write.mode("overwrite")
         if partition_by:
@@ -52,12 +49,6 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def tidy(self) -> None:
-        """Now and then lets the driver forget finished rounds: their broadcasts and shuffle files go once its heap is collected."""
-        self._rounds += 1
-        if self._rounds % TIDY_ROUNDS == 0 and self.spark._jvm is not None:
-            self.spark._jvm.System.gc()
-
     def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
         """``cut``, and aggregates over the rows, which come with the write."""
         seen = Observation()
