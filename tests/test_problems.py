@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vocabgraph.operators.forest import closure_findings, hierarchy
+from vocabgraph.operators.forest import all_descendants, closure_findings, hierarchy
 from vocabgraph.operators.orphans import Reference, orphan_references, orphan_report
 from vocabgraph.operators.skew import eager_join_aggregate, heavy_join_keys, joined_states, key_profile, row_counts
 
@@ -152,3 +152,17 @@ def test_eager_aggregation_equals_the_join(spark):
     got = {x.g: (x.n_pairs, x.total) for x in eager_join_aggregate(l, r, "k", "k2", "g", {"total": F.col("v")}).collect()}
     want = {x.g: (x.n, x.t) for x in l.join(r, F.col("k") == F.col("k2")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("t")).collect()}
     assert got == want
+
+
+def test_tall_hierarchies_take_few_rounds(spark):
+    """A chain of 5,000 nodes; a ring of 1,000 below 300 tops; a comb whose spine of 120 has a leaf at each node."""
+    chain = [(i, i + 1) for i in range(4999)]
+    found = hierarchy(spark.createDataFrame(chain, "child long, parent long"))
+    wrong = found.where("depth <> 4999 - node OR root <> 4999 OR n_descendants <> node OR on_cycle OR size(path) <> depth + 1 OR path[0] <> 4999 OR path[depth] <> node").count()
+    assert wrong == 0 and found.count() == 5000
+    ring = [(i, (i + 1) % 1000) for i in range(1000)] + [(7 * i % 1000, 10_000 + i) for i in range(300)]
+    rows = hierarchy(spark.createDataFrame(ring, "child long, parent long")).collect()
+    assert len(rows) == 1300 and all((r.on_cycle, r.n_descendants, r.depth) == ((True, 999, None) if r.node < 1000 else (False, 1000, 0)) for r in rows)
+    comb = [(i, i + 1) for i in range(119)] + [(1000 + i, i) for i in range(120)]
+    found = {(r.node, r.descendant): r.distance for r in all_descendants(spark.createDataFrame(comb, "child long, parent long")).collect()}
+    assert found == {(i, j): i - j for i in range(120) for j in range(i)} | {(i, 1000 + j): i - j + 1 for i in range(120) for j in range(i + 1)}
