@@ -5,8 +5,9 @@ from vocabgraph.llm.lookalike import comparable, consistent, inconsistent, is_co
 DIRTY = {
     "Vinou\xa0graft": "Vinou graft", "ｓｅｌｆ－ｌｉｍｉｔｉｎｇ": "self-limiting", "deﬁciency": "deficiency", "Grévin": "Grévin", "f﻿racture": "fracture", "Кlοkea": "Klokea", "Мild": "Mild", "stage Ⅱ": "stage II", "self‑limiting": "self-limiting", "post−touclan": "post-touclan",
     "IIІ": "III", "шкaф": "шкаф", "grade І": "grade I", "a b　c": "a b c", "soft­hyphen": "softhyphen", "Ångvik": "Ångvik", "zero​width": "zerowidth",
+    "ɡastritis": "gastritis", "dıabetes": "diabetes", "օtitis": "otitis", "ꓮcute": "Acute", "Ꭺcute pain": "Acute pain", "ηeuron": "neuron", "кnee": "knee", "hipː left": "hip: left", "a\u2028b": "a b",
 }
-CLEAN = ["", "plain  name", "Simple m²", "(½ dose)", "ulcer ™", "№ 17", "44 °C", "δάσος και φως 7", "Ψυγείο Δ", "Щека и шея", "左膝の痛み", "発熱 12", "Grévin", "Ångvik", "≥ 41", "a → b", "Mixed (жёлтый щиток)", "Møltke", "12 µg", "نمی‌خواهم"]
+CLEAN = ["", "сор", "Щека с сор", "Ꭰ", "օձ հայ", "ⲟⲩⲟⲛ", "kнопка", "колено hip", "hip колено", "ηλεκτρο", "кость", "plain  name", "Simple m²", "(½ dose)", "ulcer ™", "№ 17", "44 °C", "δάσος και φως 7", "Ψυγείο Δ", "Щека и шея", "左膝の痛み", "発熱 12", "Grévin", "Ångvik", "≥ 41", "a → b", "Mixed (жёлтый щиток)", "Møltke", "12 µg", "نمی‌خواهم"]
 
 
 @pytest.mark.parametrize("text,form", DIRTY.items())

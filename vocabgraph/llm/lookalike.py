@@ -20,8 +20,17 @@ GREEK_LIKE = {
     "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
+# Letters of scripts that are seldom written beside Latin, and what Latin letter they look like.
+OTHER_LIKE = {
+    "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "զ": "q", "յ": "j", "Տ": "S", "Օ": "O", "Լ": "L", "Ս": "U",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮖ": "I", "Ꮛ": "E", "Ꮞ": "4", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d",
+    "ꓐ": "B", "ꓑ": "P", "ꓒ": "d", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲕ": "K", "Ⲏ": "H", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
+}
+# Latin letters beyond the alphabet, Greek and Cyrillic ones that only nearly look like another; exchanged in words otherwise of plain Latin letters.
+NEAR_LIKE = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ǀ": "l", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "η": "n", "τ": "t", "ω": "w", "ϲ": "c", "ϳ": "j", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "п": "n", "г": "r", "ь": "b"}
 # Punctuation drawn like an ASCII sign.
-SIGN_LIKE = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "⁄": "/", "∕": "/", "∶": ":", "∗": "*", "․": ".", "∣": "|", "‚": ","}
+SIGN_LIKE = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "⁄": "/", "∕": "/", "∶": ":", "ː": ":", "˸": ":", "꞉": ":", "∗": "*", "․": ".", "∣": "|", "‚": ",", "ʼ": "'", "ʹ": "'"}
 # Compatibility characters with a look of their own; they stay. (Superscripts, fractions and circled signs are told by their tags.)
 OWN_LOOK = set("№℡™℠µſ")
 LIKE_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
@@ -30,7 +39,8 @@ _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 _JOINER_SCRIPTS = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Gujarati}\p{Sinhala}\p{Emoji_Presentation}]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LATIN = regex.compile(r"\p{Latin}")
-_SPACES = regex.compile(r"[\p{Zs}\t\x0b\f\x85]")
+_SPACES = regex.compile(r"[\p{Zs}\p{Zl}\p{Zp}\t\x0b\f\x85]")
+_PLAIN_LATIN = regex.compile(r"[A-Za-z]")
 
 
 def _single(ch: str) -> str:
@@ -52,8 +62,21 @@ def _single(ch: str) -> str:
     return plain
 
 
+def _near(word: str) -> str:
+    """Letters of OTHER_LIKE and NEAR_LIKE exchanged, if every other letter of the word is a plain Latin one and there is at least one."""
+    like = [c for c in word if c in OTHER_LIKE or c in NEAR_LIKE]
+    if like and len(like) < len(word) and all(c in OTHER_LIKE or c in NEAR_LIKE or _PLAIN_LATIN.match(c) for c in word):
+        return "".join(OTHER_LIKE.get(c) or NEAR_LIKE.get(c, c) for c in word)
+    return word
+
+
 def _script_words(text: str) -> str:
-    """Look-alike letters of another script exchanged in words that aren't truly written in it."""
+    """Look-alike letters of another script exchanged in words that aren't truly written in it.
+
+    A word of more than one script is put in that of its letters without a double. A word wholly of Cyrillic or Greek letters that
+    each look like a Latin one could be either: it is read as Latin if another word of the text is Latin and none is clearly of that
+    script ('grade І'), and stays as it is if any is, or if no word is Latin ('сор').
+    """
     words = _WORD.findall(text)
     cyr = lambda w: [c for c in w if "Ѐ" <= c <= "ԯ"]
     grk = lambda w: [c for c in w if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿"]
@@ -77,7 +100,7 @@ def _script_words(text: str) -> str:
                         w = "".join(back.get(c, c) for c in w)  # the other way round
             elif not own and not true_elsewhere and any_latin:
                 w = "".join(like.get(c, c) for c in w)
-        return w
+        return _near(w)
 
     return _WORD.sub(fix, text)
 
