@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .worker import once
 
 STATS = ["n_words", "mean_word_length", "symbol_share", "digit_share", "ending_share", "common_share", "clean_share", "figure_line_share", "alike_line_share", "words_per_line"]
 KINDS = ["prose", "list", "table", "junk"]
@@ -20,48 +21,108 @@ ENDINGS = ".!?;:,"
 STRIP = ".,;:!?\"'()[]{}«»“”„*·-—|"
 MAX_LABELS = 5_000  # labelled pages used to begin and to name the components
 MAX_COMMON = 100_000  # common words that may be broadcast
+MAX_TOKENS = 200_000  # distinct tokens a worker keeps in mind
+PAGES = 200  # pages worked out together
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def _shape(tokens: list[str]) -> tuple:
-    """What an entry of its kind looks like: how the line begins and ends, its figures, its separators, roughly its length."""
-    first, last = tokens[0], tokens[-1]
-    head = "9" if first[0].isdigit() else "A" if first[0].isupper() else "a" if first[0].isalpha() else first[0]
-    tail = "9" if last[-1].isdigit() else "a" if last[-1].isalpha() else last[-1]
-    figures = sum(any(map(str.isdigit, t)) for t in tokens)
-    return head, tail, min(figures, 6), sum(t[-1] == "," for t in tokens), min(len(tokens), 12) // 2
+def _end(ch: str, upper: bool) -> int:
+    """What a line begins or ends with: a figure, a capital, another letter, or the sign itself."""
+    return ord("9") if ch.isdigit() else ord("A") if upper and ch.isupper() else ord("a") if ch.isalpha() else ord(ch)
+
+
+_LEN, _LETTERS, _DIGITS, _WORD, _ALPHA, _ALPHA_LEN, _CLEAN, _ENDS, _FIGURE, _ANY_DIGIT, _COMMA, _HEAD, _TAIL, _COMMON = range(14)
+
+
+class Tokens:
+    """What there is to know of each distinct token, worked out once: one number per token, one row of ``known`` per number."""
+
+    def __init__(self, common: list[frozenset[str]]):
+        self.common = common
+        self.numbers: dict[str, int] = {}
+        self.known = np.zeros((1024, _COMMON + len(common)), np.int32)
+
+    def number(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of ``tokens``; a table grown beyond ``MAX_TOKENS`` is begun anew."""
+        if len(self.numbers) > MAX_TOKENS:
+            self.numbers = {}
+        numbers = self.numbers
+        new = list(set(tokens).difference(numbers))
+        if new:
+            at = len(numbers)
+            while at + len(new) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[at : at + len(new)] = [self._row(t) for t in new]
+            numbers.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+
+    def _row(self, t: str) -> tuple[int, ...]:
+        w = t.strip(STRIP).lower()
+        alpha = bool(w) and w.isalpha()
+        return (
+            len(t), len(_NOT_LETTERS.sub("", t)), sum(map(t.count, "0123456789")), bool(w), alpha, len(w) if alpha else 0, alpha and len(w) >= 2, t[-1] in ENDINGS, t[0].isdigit() or t[-1].isdigit(), any(map(str.isdigit, t)), t[-1] == ",",
+            _end(t[0], True), _end(t[-1], False), *[bool(w) and w in own for own in self.common],
+        )
+
+
+def batch_stats(texts: list[str | None], table: Tokens) -> np.ndarray:
+    """The values of STATS, a row per text. Null texts and those without words have all zero."""
+    tokens: list[str] = []
+    sizes: list[int] = []  # tokens of each line that has any
+    line_counts = []
+    for text in texts:
+        before = len(sizes)
+        for line in (text or "").split("\n"):
+            own = line.split()
+            if own:
+                tokens += own
+                sizes.append(len(own))
+        line_counts.append(len(sizes) - before)
+    out = np.zeros((len(texts), len(STATS)))
+    if not tokens:
+        return out
+    ids = table.number(tokens)
+    known = table.known[ids]
+    length = np.array(sizes)
+    first = np.cumsum(length) - length
+    lines = np.add.reduceat(known[:, [_ANY_DIGIT, _COMMA, _FIGURE]], first, axis=0)
+    page_lines = np.array(line_counts)
+    live = np.flatnonzero(page_lines)
+    page_first = (np.cumsum(page_lines) - page_lines)[live]
+    n_lines = page_lines[live]
+    sums = np.add.reduceat(known, first[page_first], axis=0)
+    n_tokens = np.add.reduceat(length, page_first)
+    head, tail = known[first, _HEAD].astype(np.int64), known[first + length - 1, _TAIL].astype(np.int64)
+    ends = np.add.reduceat(known[first + length - 1, _ENDS], page_first)
+    figure_lines = np.add.reduceat((lines[:, 2] >= 2).astype(np.int64), page_first)
+    # the shape of a line: how it begins and ends, its figures, its separators, roughly its length
+    shape = (((head << 21 | tail) << 3 | np.minimum(lines[:, 0], 6)) << 3 | np.minimum(length, 12) // 2) << 15 | np.minimum(lines[:, 1], 2**15 - 1)
+    page = np.repeat(np.arange(len(live)), n_lines)
+    order = np.lexsort((shape, page))
+    new = np.ones(len(order), bool)
+    new[1:] = (page[order][1:] != page[order][:-1]) | (shape[order][1:] != shape[order][:-1])
+    starts = np.flatnonzero(new)
+    counts, owner = np.diff(np.append(starts, len(order))), page[order][starts]
+    rank = np.lexsort((-counts, owner))
+    place = np.arange(len(rank)) - np.searchsorted(owner[rank], owner[rank], side="left")
+    alike = np.bincount(owner[rank][place < 2], weights=counts[rank][place < 2], minlength=len(live))
+    words = np.maximum(1, sums[:, _WORD])
+    solid = sums[:, _LEN]
+    best = sums[:, _COMMON:].max(axis=1) if table.common else np.zeros(len(live), np.int64)
+    out[live] = np.stack(
+        [
+            sums[:, _WORD], sums[:, _ALPHA_LEN] / np.maximum(1, sums[:, _ALPHA]), 1 - (sums[:, _LETTERS] + sums[:, _DIGITS]) / solid, sums[:, _DIGITS] / solid, ends / n_lines, best / words, sums[:, _CLEAN] / n_tokens,
+            figure_lines / n_lines, alike / n_lines, sums[:, _WORD] / n_lines,
+        ],
+        axis=1,
+    )
+    return out
 
 
 def page_stats(text: str | None, common: list[frozenset[str]]) -> list[float]:
-    """The values of STATS. A null text counts as empty: all zero."""
-    text = text or ""
-    tokens = text.split()
-    if not tokens:
-        return [0.0] * len(STATS)
-    solid = sum(map(len, tokens))
-    letters = len(_NOT_LETTERS.sub("", text))
-    digits = sum(map(text.count, "0123456789"))
-    words = [w for t in tokens if (w := t.strip(STRIP).lower())]
-    alpha = [w for w in words if w.isalpha()]
-    n = max(1, len(words))
-    best = max((sum(w in own for w in words) for own in common), default=0)
-    lines = [ts for line in text.split("\n") if (ts := line.split())]
-    ends = sum(ts[-1][-1] in ENDINGS for ts in lines)
-    figure_lines = sum(sum(t[0].isdigit() or t[-1].isdigit() for t in ts) >= 2 for ts in lines)
-    alike = Counter(map(_shape, lines)).most_common(2)
-    return [
-        float(len(words)),
-        sum(map(len, alpha)) / max(1, len(alpha)),
-        1 - (letters + digits) / solid if solid else 0.0,
-        digits / solid if solid else 0.0,
-        ends / len(lines),
-        best / n,
-        sum(len(w) >= 2 for w in alpha) / len(tokens),
-        figure_lines / len(lines),
-        sum(c for _, c in alike) / len(lines),
-        len(words) / len(lines),
-    ]
+    """The values of STATS of one text."""
+    return batch_stats([text], Tokens(common))[0].tolist()
 
 
 def _features(stats: np.ndarray) -> np.ndarray:
@@ -169,11 +230,13 @@ def statistics(documents: DataFrame, common_words: DataFrame, *, doc_id: str = "
     by: dict[str, set[str]] = defaultdict(set)
     for r in listed.collect():
         by[r.l].add(r.w)
-    common = [frozenset(v) for _, v in sorted(by.items())]
+    shared = documents.sparkSession.sparkContext.broadcast([frozenset(v) for _, v in sorted(by.items())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = once(shared, Tokens)
         for batch in batches:
-            values = np.array([page_stats(t, common) for t in batch.column(1).to_pylist()]).reshape(-1, len(STATS))
+            texts = batch.column(1).to_pylist()
+            values = np.concatenate([np.zeros((0, len(STATS))), *[batch_stats(texts[k : k + PAGES], table) for k in range(0, len(texts), PAGES)]])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(values[:, k]) for k in range(len(STATS))]], ["doc_id", *STATS])
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
