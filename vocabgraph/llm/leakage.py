@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import once
+
 # Letter pairs that scanners take for one letter, and letters they take for one another; both sides are folded alike.
 PAIRS = [("rn", "m"), ("in", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ri", "n"), ("lc", "k")]
 LETTER_GROUPS = ["eco0anupd(", "iltrjfsvy15!|", "hbk68", "gq9"]
 
 AROUND = 16
-MAX_ITEM_WORDS = 2_000_000  # words of all passages that may be broadcast as n-grams
+MAX_ITEM_WORDS = 400_000  # words of all passages that may be broadcast as n-grams: some 140 MB in each Python worker
 
 
 _TABLE = {ord(c): g[0] for g in LETTER_GROUPS for c in g}
@@ -440,7 +442,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     """(item_id, doc_id, run, words_read, lines): pages that hold ``rules.run`` or more words in a row of an item's passage.
     Of several runs of an item on a page the best is given, with the lines of all.
 
-    One scan of the documents without a shuffle: the passages' n-grams are broadcast as a hash set; a page whose lines hit
+    One scan of the documents without a shuffle: the passages' n-grams are broadcast as a hash set, built once per Python worker; a page whose lines hit
     enough of one passage is put in reading order, and if the hits then follow the passage, aligned word by word. ``lines`` are the
     numbers of the page's lines that hold a run. Passages are counted first: beyond ``max_words`` words they are split by a hash
     of the id and the documents scanned once per part. Null or empty texts and passages, and null ids, give no rows; lines without a
@@ -459,7 +461,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
         shared = spark.sparkContext.broadcast([(r.i, r.p) for r in own.collect()])  # counted above
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = Passages(shared.value, rules)
+            passages = once(shared, lambda own: Passages(own, rules))
             for batch in batches:
                 rows = []
                 columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
