@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from bisect import bisect_left
@@ -148,10 +149,15 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rule
     one of ``rules.run`` or more passage words, from a read word to a read word, of which the share ``rules.clear`` is read. With
     ``hits`` (passage place, page place) only their neighbourhood is looked at.
     """
-    rules = rules or Rules()
+    return _align(item, tokens, line, pos, rules or Rules(), hits)[:3]
+
+
+def _align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rules: Rules, hits: list[tuple[int, int]] | None) -> tuple[int, int, list[int], np.ndarray]:
+    """``align``, and which tokens of the page the stretches take up."""
     m = len(item.words)
+    nothing = 0, 0, [], np.zeros(len(tokens), bool)
     if not len(tokens) or not m:
-        return 0, 0, []
+        return nothing
     lengths = np.bincount(line)
     low_row, high_row = (max(0, min(k for k, _ in hits) - AROUND), min(m, max(k for k, _ in hits) + AROUND)) if hits else (0, m)
     at = _around([j for _, j in hits], len(tokens)) if hits else np.arange(len(tokens))  # -1: between two neighbourhoods
@@ -177,6 +183,10 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rule
             if (i := item.pairs.get(t)) is not None:
                 glued[i + 1].append(j)
         last = t
+    # two bits a token, so that two glued words come one after the other
+    places = {i: sum(1 << 2 * j + 1 for j in set(equal.get(i, ())).union(halves.get(i, ()), glued.get(i, ()))) | sum(1 << 2 * j for j in glued.get(i + 1, ())) for i in range(low_row, high_row)}
+    if not in_order(list(places.values()), 2 * n, rules):
+        return nothing
     gap = 2.5
     low = -1e9
     # each state is two arrays (score, which of the last 64 passage words are read) with two cells before the first token
@@ -231,7 +241,7 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rule
             met.append((np.full(len(cells), i), cells, score[cells], read[cells]))
         prev2, prev = prev, state
     if not met:
-        return 0, 0, []
+        return nothing
     rows, cells, scores, reads = (np.concatenate(x) for x in zip(*met))
     if rules.run <= 40:  # a longer stretch holds one of up to 64 words; beyond, every path is followed
         good = np.zeros(len(rows), bool)
@@ -257,7 +267,7 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rule
             if (~used[own]).sum() >= rules.clear * rules.run:  # not the stretch before by another way
                 used[own] = True
     share = np.bincount(line[used], minlength=len(lengths)) / np.maximum(lengths, 1)
-    return best[1], best[2], np.flatnonzero(share >= 0.5).tolist()
+    return best[1], best[2], np.flatnonzero(share >= 0.5).tolist(), used
 
 
 def _around(places: list[int], n: int) -> np.ndarray:
@@ -319,6 +329,27 @@ def stretches(read: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
     return out
 
 
+def in_order(places: list[int], width: int, rules: Rules) -> bool:
+    """Whether a stretch that makes a case is possible: a bound that costs a hundredth of the alignment.
+
+    ``places``: per passage word the bits of the page places where it is read. The words of a run are read in page order, so no stretch reads more
+    of them than the longest common subsequence (bit-parallel over one integer). A stretch with at most (1 - clear) of its words unread has
+    ``rules.run`` words in a row with less than twice that share of them unread: without such words there is no case.
+    """
+    run, whole = rules.run, (1 << width) - 1
+    need = run - (math.ceil(2 * (1 - rules.clear) * run - 1e-9) - 1)
+    known = np.concatenate([[0], np.cumsum([bool(p) for p in places])])
+    for a in range(len(places) - run + 1):
+        if known[a + run] - known[a] >= need:
+            free = whole
+            for p in places[a : a + run]:
+                met = free & p
+                free = (free + met | free - met) & whole
+            if width - free.bit_count() >= need:
+                return True
+    return False
+
+
 def in_window(starts: set[int], n: int, window: int) -> int:
     """Most passage words that n-grams beginning at ``starts`` cover within ``window`` words."""
     covered = sorted({s + k for s in starts for k in range(n)})
@@ -424,11 +455,12 @@ class Passages:
                 continue
             if i not in self._items:
                 self._items[i] = Item(self.texts[i])
-            # all together, as a run may go on over foreign lines; each copy also alone, as there a run may leave it for a longer but worse one
+            # all together, as a run may go on over foreign lines; a copy that this leaves out also alone, as a run may leave it for a longer but worse one
+            *whole, used = _align(self._items[i], tokens, line, pos, rules, own)
+            cases = [whole]
             copies = diagonals(own, rules.n, rules.chain)
-            cases = [align(self._items[i], tokens, line, pos, rules, own)]
             if len(copies) > 1:
-                cases += [align(self._items[i], tokens, line, pos, rules, copy) for copy in copies]
+                cases += [align(self._items[i], tokens, line, pos, rules, copy) for copy in copies if not used[[j for _, j in copy]].all()]
             run, seen, _ = max(cases, key=lambda c: (3 * c[1] - 2 * c[0], c[0]))
             if run:
                 out.append((i, run, seen, sorted({order[x] for _, _, at in cases for x in at})))
