@@ -12,7 +12,7 @@ from vocabgraph.plans import catalog
 NAMES = [
     "concept_view_batch", "concept_by_code", "concept_synonyms", "predicate_row", "predicate_kind", "predicate_reverse", "edges_out", "edges_in", "edges_in_filtered", "edges_of_predicate", "standard_concepts", "leaves_vocabulary", "edges_batch", "edges_active_on_date", "edges_by_kind", "edges_same_domain", "edges_cross_domain", "parents", "children", "ancestors", "roots", "roots_domain", "leaves", "singletons",
     "label_rank", "label_wildcards", "label_wildcards_escaped", "label_fuzzy", "synonym_fuzzy", "label_ids_raw", "traverse_max_nodes", "traverse_trace", "shortest_path_length", "shortest_paths", "shortest_paths_capped", "shortest_paths_parallel", "path_rank", "path_explain", "ranked_paths", "resolve_partial_topk", "resolve_pipeline", "ground_terms", "ground_terms_upward", "ground_terms_constrained", "standardise_ids", "parent_search", "subsumes_closure",
-    "common_parents", "relate_groups", "greedy_cover_first", "greedy_cover", "render_path_mermaid", "render_subgraph_text", "p2_found", "p2_report", "p5_found", "p5_hierarchy", "p5_descendants", "p6_found", "p6_heavy_pairs", "p6_key_profile", "p6_join_rollup",
+    "common_parents", "relate_groups", "greedy_cover_first", "greedy_cover", "render_path_mermaid", "render_subgraph_text", "render_subgraph_mermaid", "render_trace_text", "p2_found", "p2_report", "p5_found", "p5_hierarchy", "p5_descendants", "p6_found", "p6_heavy_pairs", "p6_key_profile", "p6_join_rollup",
 ]
 
 

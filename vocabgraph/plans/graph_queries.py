@@ -423,11 +423,21 @@ def render_subgraph_text(spark, sf_dir):
     return R.subgraph_text(t, found.nodes, found.edges)
 
 
+def render_subgraph_mermaid(spark, sf_dir):
+    t, found = _traverse(spark, sf_dir)
+    return R.subgraph_mermaid(t, found.nodes, found.edges)
+
+
+def render_trace_text(spark, sf_dir):
+    t, found = _traverse(spark, sf_dir, max_nodes=MAX_NODES)
+    return R.trace_text(t, found.trace, found.summary)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         concept_view_batch, concept_by_code, concept_synonyms, predicate_row, predicate_kind, predicate_reverse, edges_out, edges_in, edges_batch, edges_active_on_date, edges_by_kind, edges_same_domain, edges_cross_domain, edges_in_filtered, edges_of_predicate, standard_concepts, leaves_vocabulary, parents, children, ancestors, roots, roots_domain, leaves, singletons,
         label_exact, label_fuzzy, synonym_exact, synonym_fuzzy, label_wildcards, label_wildcards_escaped, label_ids_raw, label_rank, traverse_nodes, traverse_edges, traverse_on_date, traverse_max_nodes, traverse_trace, shortest_path_length, shortest_paths, shortest_paths_capped, shortest_paths_parallel, path_profile, path_rank, path_explain, path_explain_depth, ranked_paths,
-        resolve_exact, resolve_partial_topk, resolve_pipeline, ground_terms, ground_terms_upward, ground_terms_constrained, standardise_ids, parent_search, subsumes_closure, common_parents, relate_groups, greedy_cover_first, greedy_cover, render_path_text, render_path_mermaid, render_subgraph_text,
+        resolve_exact, resolve_partial_topk, resolve_pipeline, ground_terms, ground_terms_upward, ground_terms_constrained, standardise_ids, parent_search, subsumes_closure, common_parents, relate_groups, greedy_cover_first, greedy_cover, render_path_text, render_path_mermaid, render_subgraph_text, render_subgraph_mermaid, render_trace_text,
     )
 }

@@ -221,4 +221,17 @@ ORACLE = {
     "render_subgraph_text": f"""{_walk()}, lines AS (SELECT q, count(*) AS n, string_agg(concat('- ', coalesce(concept_name, ''), ' (', coalesce(vocabulary_id, ''), ':', coalesce(concept_code, ''), ')'), chr(10) ORDER BY node) AS body FROM nodes LEFT JOIN c ON concept_id = node GROUP BY q),
       es AS (SELECT q, count(*) AS n FROM nodes JOIN ont ON s = node WHERE depth < {DEPTH} GROUP BY q)
       SELECT lines.q AS query_id, concat('Subgraph:', chr(10), '  Nodes: ', lines.n, chr(10), '  Edges: ', coalesce(es.n, 0), chr(10), chr(10), body) AS rendered FROM lines LEFT JOIN es USING (q)""",
+    "render_subgraph_mermaid": f"""{_walk()}, es AS (SELECT q, s, p, o, k.name FROM nodes JOIN ont ON s = node JOIN k USING (p) WHERE depth < {DEPTH}),
+      lines AS (SELECT q, 0 AS part, node AS a, '' AS p, 0 AS b, concat('  ', node, '["', replace(coalesce(concept_name, ''), '"', '#quot;'), '\\n', coalesce(vocabulary_id, ''), ':', coalesce(concept_code, ''), '"]') AS line FROM nodes LEFT JOIN c ON concept_id = node
+        UNION ALL SELECT q, 1, s, p, o, concat('  ', s, ' -->|', coalesce(name, ''), '| ', o) FROM es)
+      SELECT q AS query_id, concat('graph TD', chr(10), string_agg(line, chr(10) ORDER BY part, a, p, b)) AS rendered FROM lines GROUP BY q""",
+    "render_trace_text": f"""{_walk()}, ord AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY depth, node) AS rn, count(*) OVER (PARTITION BY q) AS total FROM nodes),
+      st AS (SELECT q, node, depth, row_number() OVER (PARTITION BY q ORDER BY depth, node) AS no FROM ord WHERE depth < {DEPTH} AND rn < {MAX_NODES}),
+      met AS (SELECT q, no, p, o, row_number() OVER (PARTITION BY q, no, p ORDER BY o) AS rn, count(*) OVER (PARTITION BY q, no, p) AS n FROM st JOIN ont ON s = node),
+      lines AS (SELECT q, no, '' AS p, 0 AS rn, concat('[depth ', depth, '] ', coalesce(concept_name, '')) AS line FROM st LEFT JOIN c ON concept_id = node
+        UNION ALL SELECT q, no, p, 0, concat('    └─ ', coalesce(name, '')) FROM met JOIN k USING (p) WHERE rn = 1
+        UNION ALL SELECT q, no, p, rn, concat('        → ', coalesce(concept_name, '')) FROM met LEFT JOIN c ON concept_id = o WHERE rn <= 6
+        UNION ALL SELECT q, no, p, 7, concat('        … ', n - 6, ' more') FROM met WHERE rn = 1 AND n > 6
+        UNION ALL SELECT DISTINCT q, 2147483647, '', 0, '[terminated: max_nodes]' FROM ord WHERE total >= {MAX_NODES})
+      SELECT q AS query_id, string_agg(line, chr(10) ORDER BY no, p, rn) AS rendered FROM lines GROUP BY q""",
 }

@@ -28,6 +28,16 @@ def _names(kg, ids) -> dict[int, ConceptView]:
     return {c.concept_id: c for c in kg.concept_views(sorted(set(ids)))}
 
 
+def _name(known: dict[int, ConceptView], n: int) -> str:
+    """The name of a concept; nothing for a null name or an unknown id."""
+    return (known[n].concept_name if n in known else None) or ""
+
+
+def _code(known: dict[int, ConceptView], n: int) -> str:
+    c = known.get(n)
+    return f"{(c.vocabulary_id if c else None) or ''}:{(c.concept_code if c else None) or ''}"
+
+
 def _by_predicate(edges):
     ordered = sorted(edges, key=lambda e: (e.predicate_id, e.object_id))
     return [(p, list(own)) for p, own in groupby(ordered, key=lambda e: e.predicate_id)]
@@ -36,22 +46,22 @@ def _by_predicate(edges):
 def subgraph_text(kg, graph: Subgraph) -> str:
     known = _names(kg, graph.nodes)
     lines = ["Subgraph:", f"  Nodes: {len(graph.nodes)}", f"  Edges: {len(graph.edges)}", ""]
-    return "\n".join(lines + [f"- {known[n].concept_name} ({known[n].vocabulary_id}:{known[n].concept_code})" for n in sorted(graph.nodes)])
+    return "\n".join(lines + [f"- {_name(known, n)} ({_code(known, n)})" for n in sorted(graph.nodes)])
 
 
 def path_text(kg, path: GraphPath) -> str:
     known = _names(kg, path.nodes())
-    return "\n".join(f"{known[s.subject].concept_name} --[{s.predicate}]--> {known[s.object].concept_name}" for s in path.steps)
+    return "\n".join(f"{_name(known, s.subject)} --[{s.predicate}]--> {_name(known, s.object)}" for s in path.steps)
 
 
 def trace_text(kg, trace: GraphTrace) -> str:
     known = _names(kg, [s.node for s in trace.steps] + [e.object_id for s in trace.steps for e in s.expanded_edges])
     out = []
     for step in trace.steps:
-        out.append(f"[depth {step.depth}] {known[step.node].concept_name}")
+        out.append(f"[depth {step.depth}] {_name(known, step.node)}")
         for predicate, edges in _by_predicate(step.expanded_edges):
             out.append(f"    └─ {kg.predicate_name(predicate)}")
-            out += [f"        → {known[e.object_id].concept_name}" for e in edges[:TEXT_TARGETS]]
+            out += [f"        → {_name(known, e.object_id)}" for e in edges[:TEXT_TARGETS]]
             if len(edges) > TEXT_TARGETS:
                 out.append(f"        … {len(edges) - TEXT_TARGETS} more")
     if trace.terminated_reason:
@@ -63,14 +73,14 @@ def explained_path_text(kg, explanation: PathExplanation) -> str:
     known = _names(kg, explanation.path.nodes())
     lines = [f"Path rank: {explanation.profile.path_rank()}", "Steps:"]
     for s in explanation.steps:
-        lines.append(f"- {known[s.step.subject].concept_name} --[{s.step.predicate}]--> {known[s.step.object].concept_name} ({s.kind}) {s.reason}")
+        lines.append(f"- {_name(known, s.step.subject)} --[{s.step.predicate}]--> {_name(known, s.step.object)} ({s.kind}) {s.reason}")
     return "\n".join(lines)
 
 
 def _card(c: ConceptView) -> str:
     tick = "✅" if c.invalid_reason is None else "❌"
-    code = escape(f"{c.vocabulary_id}:{c.concept_code}")
-    return f'<div class="concept"><b>{escape(c.concept_name or "")}</b> {tick}<br/><code>{code}</code><br/><small>Domain: {escape(str(c.domain_id))} · Class: {escape(str(c.concept_class_id))}</small></div>'
+    code = escape(f"{c.vocabulary_id or ''}:{c.concept_code or ''}")
+    return f'<div class="concept"><b>{escape(c.concept_name or "")}</b> {tick}<br/><code>{code}</code><br/><small>Domain: {escape(c.domain_id or '')} · Class: {escape(c.concept_class_id or '')}</small></div>'
 
 
 def concept_card(c: ConceptView) -> str:
@@ -93,8 +103,8 @@ def trace_html(kg, trace: GraphTrace) -> str:
     for step in trace.steps:
         out.append(f"<div><div>[depth {step.depth}]</div>{concept_card_compact(known[step.node])}")
         for predicate, edges in _by_predicate(step.expanded_edges):
-            out.append(f"<div>└─ {escape(kg.predicate_name(predicate))}</div>")
-            out += [f"<div>→ {escape(known[e.object_id].concept_name)}</div>" for e in edges[:HTML_TARGETS]]
+            out.append(f"<div>└─ {escape(kg.predicate_name(predicate) or '')}</div>")
+            out += [f"<div>→ {escape(_name(known, e.object_id))}</div>" for e in edges[:HTML_TARGETS]]
             if len(edges) > HTML_TARGETS:
                 out.append(f"<div>… {len(edges) - HTML_TARGETS} more</div>")
         out.append("</div>")
@@ -105,13 +115,13 @@ def trace_html(kg, trace: GraphTrace) -> str:
 
 def path_html(kg, path: GraphPath) -> str:
     known = _names(kg, path.nodes())
-    return "<br/>".join(f"{escape(known[s.subject].concept_name)} <b>--[{escape(s.predicate)}]--></b> {escape(known[s.object].concept_name)}" for s in path.steps)
+    return "<br/>".join(f"{escape(_name(known, s.subject))} <b>--[{escape(s.predicate)}]--></b> {escape(_name(known, s.object))}" for s in path.steps)
 
 
 def explained_path_html(kg, explanation: PathExplanation) -> str:
     known = _names(kg, explanation.path.nodes())
     head = "".join(f"<th>{h}</th>" for h in ("From", "Predicate", "To", "Kind", "Reason"))
-    rows = [(known[s.step.subject].concept_name, s.step.predicate, known[s.step.object].concept_name, s.kind, s.reason) for s in explanation.steps]
+    rows = [(_name(known, s.step.subject), s.step.predicate, _name(known, s.step.object), s.kind, s.reason) for s in explanation.steps]
     body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in row) + "</tr>" for row in rows)
     return f"<div><h4>Path explanation (rank={explanation.profile.path_rank()})</h4><table><tr>{head}</tr>{body}</table></div>"
 
@@ -122,13 +132,13 @@ def _quoted(text: str | None) -> str:
 
 def subgraph_mermaid(kg, graph: Subgraph) -> str:
     known = _names(kg, graph.nodes)
-    lines = ["graph TD"] + [f'  {n}["{_quoted(known[n].concept_name)}\\n{known[n].vocabulary_id}:{known[n].concept_code}"]' for n in sorted(graph.nodes)]
+    lines = ["graph TD"] + [f'  {n}["{_quoted(_name(known, n))}\\n{_code(known, n)}"]' for n in sorted(graph.nodes)]
     return "\n".join(lines + [f"  {e.subject_id} -->|{kg.predicate_name(e.predicate_id)}| {e.object_id}" for e in graph.edges])
 
 
 def path_mermaid(kg, path: GraphPath) -> str:
     known = _names(kg, path.nodes())
-    return "\n".join(["graph LR"] + [f'{s.subject}["{_quoted(known[s.subject].concept_name)}"] -->|{s.predicate}| {s.object}["{_quoted(known[s.object].concept_name)}"]' for s in path.steps])
+    return "\n".join(["graph LR"] + [f'{s.subject}["{_quoted(_name(known, s.subject))}"] -->|{s.predicate}| {s.object}["{_quoted(_name(known, s.object))}"]' for s in path.steps])
 
 
 _BY_FORMAT = {
