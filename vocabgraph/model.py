@@ -1,4 +1,4 @@
-"""Small values for single results on the driver."""
+"""Small values for single results on the driver. The names of classes and fields are the public data model."""
 
 from __future__ import annotations
 

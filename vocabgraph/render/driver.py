@@ -1,4 +1,4 @@
-"""Text, HTML and Mermaid of single results that were collected within a bound."""
+"""Text, HTML and Mermaid of single results that were collected within a bound. The wording and signs of the output."""
 
 from __future__ import annotations
 
