@@ -16,6 +16,7 @@ from ..operators import lookup as K
 from ..operators import phenotype as P
 from ..operators.grounding import GroundingConstraints, ground_terms as ground
 from ..operators.paths import ShortestPaths, path_text, shortest_paths as search
+from ..operators.shared import SharedPaths, shared_shortest_paths
 from ..operators.resolvers import ExactLabelResolver, ExactSynonymResolver, PartialLabelResolver, ResolverConfidence, ResolverPipeline
 from ..operators.scoring import COUNTERS, explain, path_profile as profile, rank_paths, ranked_paths_with_explanations
 from ..operators.traverse import Traversal, traverse
@@ -249,10 +250,19 @@ def _stated_pairs(t: VocabularyTables) -> DataFrame:
     return rows.withColumn("pair_id", F.concat_ws(">", "source", "target"))
 
 
+UPWARD = E.EdgeFilter(kinds=(ONTOLOGICAL,), within_domain=False)
+
+
 def _upward(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, ShortestPaths]:
-    """Over the hierarchy in both directions and across domains; pairs may have several paths."""
+    """Over the hierarchy in both directions and across domains; pairs may have several paths. Each pair with its own search."""
+    t = _tables(spark, sf_dir)
+    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=max_paths)
+
+
+def _upward_shared(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, SharedPaths]:
+    """The same paths by shared searches."""
     t = _tables(spark, sf_dir)
-    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=E.EdgeFilter(kinds=(ONTOLOGICAL,), within_domain=False), max_depth=PAIR_DEPTH, max_paths=max_paths)
+    return t, shared_shortest_paths(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=max_paths)
 
 
 def shortest_path_length(spark, sf_dir):
@@ -260,7 +270,7 @@ def shortest_path_length(spark, sf_dir):
 
 
 def shortest_paths(spark, sf_dir):
-    return _upward(spark, sf_dir)[1].paths.select("pair_id", F.col("path_no").cast("long").alias("path_no"), path_text(F.col("steps")).alias("steps"))
+    return _upward_shared(spark, sf_dir)[1].paths().select("pair_id", F.col("path_no").cast("long").alias("path_no"), path_text(F.col("steps")).alias("steps"))
 
 
 def shortest_paths_capped(spark, sf_dir):
