@@ -44,6 +44,10 @@ def refuse(*_, **__):
     raise AssertionError("a search for each pair")
 
 
-def test_shortest_paths_share_searches(spark, sf, monkeypatch):
+SHARED = ["shortest_paths", "shortest_path_length"]
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_path_queries_share_searches(spark, sf, monkeypatch, name):
     monkeypatch.setattr(G, "search", refuse)
-    assert G.shortest_paths(spark, sf).count()
+    assert getattr(G, name)(spark, sf).columns[0] == "pair_id"

@@ -266,7 +266,7 @@ def _upward_shared(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[Vocabular
 
 
 def shortest_path_length(spark, sf_dir):
-    return _upward(spark, sf_dir)[1].summary.select("pair_id", F.col("hops").cast("long").alias("hops"), "reason")
+    return _upward_shared(spark, sf_dir)[1].summary.select("pair_id", F.col("hops").cast("long").alias("hops"), "reason")
 
 
 def shortest_paths(spark, sf_dir):
