@@ -274,7 +274,7 @@ def shortest_paths(spark, sf_dir):
 
 
 def shortest_paths_capped(spark, sf_dir):
-    return _upward(spark, sf_dir, max_paths=1)[1].paths.select("pair_id", path_text(F.col("steps")).alias("steps"))
+    return _upward_shared(spark, sf_dir, max_paths=1)[1].paths().select("pair_id", path_text(F.col("steps")).alias("steps"))
 
 
 def shortest_paths_parallel(spark, sf_dir):
