@@ -286,8 +286,8 @@ def shortest_paths_parallel(spark, sf_dir):
 
 
 def path_profile(spark, sf_dir):
-    t, found = _upward(spark, sf_dir)
-    return profile(t, found.paths).select("pair_id", path_text(F.col("steps")).alias("steps"), *COUNTERS)
+    t, found = _upward_shared(spark, sf_dir)
+    return profile(t, found.paths()).select("pair_id", path_text(F.col("steps")).alias("steps"), *COUNTERS)
 
 
 def path_rank(spark, sf_dir):
