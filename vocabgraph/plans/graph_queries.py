@@ -291,8 +291,8 @@ def path_profile(spark, sf_dir):
 
 
 def path_rank(spark, sf_dir):
-    t, found = _upward(spark, sf_dir)
-    return rank_paths(profile(t, found.paths)).select("pair_id", path_text(F.col("steps")).alias("steps"), F.col("rank_no").cast("long").alias("rank_no"))
+    t, found = _upward_shared(spark, sf_dir)
+    return rank_paths(profile(t, found.paths())).select("pair_id", path_text(F.col("steps")).alias("steps"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
 def _explained(spark, sf_dir) -> DataFrame:
