@@ -44,10 +44,16 @@ def refuse(*_, **__):
     raise AssertionError("a search for each pair")
 
 
-SHARED = ["shortest_paths", "shortest_path_length", "shortest_paths_capped", "path_profile", "path_rank"]
+SHARED = ["shortest_paths", "shortest_path_length", "shortest_paths_capped", "path_profile", "path_rank", "path_explain"]
 
 
 @pytest.mark.parametrize("name", SHARED)
 def test_path_queries_share_searches(spark, sf, monkeypatch, name):
     monkeypatch.setattr(G, "search", refuse)
     assert getattr(G, name)(spark, sf).columns[0] == "pair_id"
+
+
+def test_explanations_without_expansions(spark, golden):
+    steps = spark.createDataFrame([("4>1", 1, 2, [(4, "Is a", 2), (2, "Is a", 1)])], "pair_id string, path_no int, hops int, steps array<struct<subject:bigint,predicate:string,object:bigint>>")
+    got = [(r.step_no, r.subject, r.object, r.traversal_depth, r.kind) for r in explain(golden, steps).orderBy("step_no").collect()]
+    assert got == [(1, 4, 2, None, "ONTOLOGICAL"), (2, 2, 1, None, "ONTOLOGICAL")]

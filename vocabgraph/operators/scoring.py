@@ -52,16 +52,20 @@ def rank_paths(profiled: DataFrame) -> DataFrame:
     return profiled.withColumn("rank_no", F.row_number().over(Window.partitionBy("pair_id").orderBy(path_rank(), "path_no")))
 
 
-def explain(tables: VocabularyTables, paths: DataFrame, expansions: DataFrame) -> DataFrame:
+def explain(tables: VocabularyTables, paths: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
     """(pair_id, path_no, step_no, subject, predicate, object, traversal_depth, kind, reason).
 
     ``expansions``: (pair_id, side, depth, node). traversal_depth is the depth at which the search from the source opened the step's subject,
-    and so met this edge; null if only the search from the target did.
+    and so met this edge; null if only the search from the target did, or without ``expansions``.
     """
     steps = paths.select("pair_id", "path_no", F.posexplode("steps").alias("pos", "step")).select("pair_id", "path_no", (F.col("pos") + 1).alias("step_no"), "step.subject", "step.predicate", "step.object")
-    seen = expansions.where("side = 'forward'").select("pair_id", F.col("node").alias("subject"), F.col("depth").alias("traversal_depth"))
+    if expansions is None:
+        steps = steps.withColumn("traversal_depth", F.lit(None).cast("int"))
+    else:
+        seen = expansions.where("side = 'forward'").select("pair_id", F.col("node").alias("subject"), F.col("depth").alias("traversal_depth"))
+        steps = steps.join(seen, ["pair_id", "subject"], "left")
     kinds = predicates(tables).select(F.col("predicate_id").alias("predicate"), "kind")
-    out = steps.join(seen, ["pair_id", "subject"], "left").join(kinds, "predicate", "left")
+    out = steps.join(kinds, "predicate", "left")
     return out.select("pair_id", "path_no", "step_no", "subject", "predicate", "object", "traversal_depth", "kind", kind_label(F.col("kind")).alias("reason"))
 
 

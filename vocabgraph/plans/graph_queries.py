@@ -295,18 +295,15 @@ def path_rank(spark, sf_dir):
     return rank_paths(profile(t, found.paths())).select("pair_id", path_text(F.col("steps")).alias("steps"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
-def _explained(spark, sf_dir) -> DataFrame:
-    t, found = _upward(spark, sf_dir)
-    return explain(t, found.paths, found.expansions).select("pair_id", F.col("path_no").cast("long").alias("path_no"), F.col("step_no").cast("long").alias("step_no"), "subject", "predicate", "object", F.col("traversal_depth").cast("long").alias("traversal_depth"), "kind", "reason")
-
-
 def path_explain(spark, sf_dir):
-    return _explained(spark, sf_dir).drop("traversal_depth")
+    t, found = _upward_shared(spark, sf_dir)
+    return explain(t, found.paths()).select("pair_id", F.col("path_no").cast("long").alias("path_no"), F.col("step_no").cast("long").alias("step_no"), "subject", "predicate", "object", "kind", "reason")
 
 
 def path_explain_depth(spark, sf_dir):
     """How many steps the search from the source explains, by depth; it depends on how the two searches share the work."""
-    return _explained(spark, sf_dir).groupBy("traversal_depth").agg(F.count(F.lit(1)).alias("n_steps"))
+    t, found = _upward(spark, sf_dir)
+    return explain(t, found.paths, found.expansions).groupBy(F.col("traversal_depth").cast("long").alias("traversal_depth")).agg(F.count(F.lit(1)).alias("n_steps"))
 
 
 def ranked_paths(spark, sf_dir):
