@@ -421,8 +421,8 @@ def render_path_text(spark, sf_dir):
 
 
 def render_path_mermaid(spark, sf_dir):
-    t, found = _upward(spark, sf_dir, max_paths=1)
-    return R.path_mermaid(t, found.paths).select("pair_id", "rendered")
+    t, found = _upward_shared(spark, sf_dir, max_paths=1)
+    return R.path_mermaid(t, found.paths()).select("pair_id", "rendered")
 
 
 def render_subgraph_text(spark, sf_dir):
