@@ -44,7 +44,7 @@ def refuse(*_, **__):
     raise AssertionError("a search for each pair")
 
 
-SHARED = ["shortest_paths", "shortest_path_length", "shortest_paths_capped", "path_profile", "path_rank", "path_explain", "render_path_mermaid"]
+SHARED = ["shortest_paths", "shortest_path_length", "shortest_paths_capped", "path_profile", "path_rank", "path_explain", "render_path_mermaid", "render_path_text"]
 
 
 @pytest.mark.parametrize("name", SHARED)

@@ -416,8 +416,8 @@ def greedy_cover(spark, sf_dir):
 
 # rendering
 def render_path_text(spark, sf_dir):
-    t, found = _upward(spark, sf_dir, max_paths=1)
-    return R.path_text(t, found.paths).select("pair_id", "rendered")
+    t, found = _upward_shared(spark, sf_dir, max_paths=1)
+    return R.path_text(t, found.paths()).select("pair_id", "rendered")
 
 
 def render_path_mermaid(spark, sf_dir):
