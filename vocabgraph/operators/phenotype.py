@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -111,12 +111,18 @@ def greedy_cover(seeds: DataFrame, parents: CommonParents, *, target_ratio: floa
     """(group_id, pick_no, parent_id, gain, score): per group, again and again the parent of the best score on what is left.
 
     A group ends when the covered share of its distinct seeds reaches ``target_ratio``, or no parent gains ``min_gain``. Equal
-    scores: the least parent_id. All groups pick in the same round.
+    scores: the least parent_id. All groups pick in the same round; without ``max_picks`` a round takes every parent that leads on all it
+    still covers (``_leading_picks``), not one per group.
     """
     scratch = Scratch(seeds.sparkSession, "cover")
     own = scratch.cut(seeds.select("group_id", F.col("concept_id").alias("origin")).dropna().distinct(), "seeds")
     sizes = own.groupBy("group_id").agg(F.count(F.lit(1)).alias("_seeds"))
     found, stats = scratch.cut(parents.found, "found"), scratch.cut(parents.stats, "stats")
+    if max_picks is None and alpha >= 0:
+        picks = _leading_picks(found, stats, lambda gain: cover_score(gain, alpha, beta, gamma, delta), min_gain, scratch)
+        order = Window.partitionBy("group_id").orderBy(F.desc("score"), "parent_id")
+        picks = picks.withColumn("pick_no", F.row_number().over(order)).withColumn("_before", F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        return picks.join(sizes, "group_id").where(F.coalesce("_before", F.lit(0)) / F.col("_seeds") < target_ratio).select("group_id", "pick_no", "parent_id", "gain", "score")
     remaining, picks, pick_no = own, None, 0
     while max_picks is None or pick_no < max_picks:
         pick_no += 1
@@ -133,6 +139,30 @@ def greedy_cover(seeds: DataFrame, parents: CommonParents, *, target_ratio: floa
     return best.limit(0) if picks is None else picks
 
 
+def _leading_picks(found: DataFrame, stats: DataFrame, score, min_gain: int, scratch: Scratch) -> DataFrame:
+    """(group_id, parent_id, gain, score) of all picks, unordered.
+
+    Scores only fall. So a parent that has the best score of all parents of each seed it still covers keeps its gain until its
+    turn comes, and can be taken at once; in the order of score and id the picks are those made one at a time.
+    """
+    left = scratch.cut(found.join(stats.select("group_id", "parent_id", "purity", "pollution", "max_depth"), ["group_id", "parent_id"]), "cover")
+    every = None
+    while True:
+        gains = left.groupBy("group_id", "parent_id", "purity", "pollution", "max_depth").agg(F.count(F.lit(1)).alias("gain")).where(F.col("gain") >= min_gain)
+        scored = left.join(gains.select("group_id", "parent_id", "gain", score(F.col("gain")).alias("score")), ["group_id", "parent_id"])
+        best = scored.groupBy("group_id", "origin").agg(F.max(F.struct("score", (-F.col("parent_id")).alias("minus_id"), "gain")).alias("b"))
+        best = scratch.cut(best.select("group_id", "origin", (-F.col("b.minus_id")).alias("parent_id"), "b.gain", "b.score"), "best")
+        lead = best.groupBy("group_id", "parent_id", "gain", "score").agg(F.count(F.lit(1)).alias("_n")).where("_n = gain").drop("_n")
+        lead, n = scratch.counted(lead, "lead")
+        every = lead if every is None else every.unionByName(lead)
+        if not n:
+            return every
+        taken = best.join(lead.select("group_id", "parent_id"), ["group_id", "parent_id"], "left_semi").select("group_id", "origin")
+        rest = scratch.cut(left.join(taken, ["group_id", "origin"], "left_anti"), "cover")
+        scratch.drop(left, best)
+        left = rest
+
+
 def relate_groups(parents: CommonParents) -> DataFrame:
     """(group_id, from_id, to_id, type, overlap): within a group, each parent whose seeds are all below another one.
 

@@ -253,10 +253,10 @@ def _stated_pairs(t: VocabularyTables) -> DataFrame:
 UPWARD = E.EdgeFilter(kinds=(ONTOLOGICAL,), within_domain=False)
 
 
-def _upward(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, ShortestPaths]:
+def _upward(spark, sf_dir) -> tuple[VocabularyTables, ShortestPaths]:
     """Over the hierarchy in both directions and across domains; pairs may have several paths. Each pair with its own search."""
     t = _tables(spark, sf_dir)
-    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=max_paths)
+    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=MAX_PATHS)
 
 
 def _upward_shared(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, SharedPaths]:
