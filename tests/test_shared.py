@@ -57,3 +57,24 @@ def test_explanations_without_expansions(spark, golden):
     steps = spark.createDataFrame([("4>1", 1, 2, [(4, "Is a", 2), (2, "Is a", 1)])], "pair_id string, path_no int, hops int, steps array<struct<subject:bigint,predicate:string,object:bigint>>")
     got = [(r.step_no, r.subject, r.object, r.traversal_depth, r.kind) for r in explain(golden, steps).orderBy("step_no").collect()]
     assert got == [(1, 4, 2, None, "ONTOLOGICAL"), (2, 2, 1, None, "ONTOLOGICAL")]
+
+
+@pytest.mark.parametrize("reach", [100_000, 3])
+def test_turns_are_those_of_the_pairs_own_searches(net, monkeypatch, reach):
+    monkeypatch.setattr(shared, "MAX_REACH", reach)
+    own = shortest_paths(*net, rule=RULE)
+    ahead = {r.pair_id: r.n for r in own.expansions.where("side = 'forward'").groupBy("pair_id").agg({"depth": "max"}).toDF("pair_id", "n").collect()}
+    want = {r.pair_id: ahead.get(r.pair_id, -1) + 1 for r in own.summary.where("hops > 0").collect()}
+    got = {r.pair_id: r.turn for r in shared.shared_shortest_paths(*net, rule=RULE).turns().collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_explained_depths_share_searches(spark, sf, monkeypatch):
+    monkeypatch.setattr(G, "search", refuse)
+    monkeypatch.setattr(shared, "shortest_paths", refuse)
+    got = {r.traversal_depth: r.n_steps for r in G.path_explain_depth(spark, sf).collect()}
+    monkeypatch.undo()
+    t = G._tables(spark, sf)
+    own = shortest_paths(G.E.enriched_edges(t), G._stated_pairs(t), rule=G.UPWARD, max_depth=G.PAIR_DEPTH, max_paths=G.MAX_PATHS)
+    want = explain(t, own.paths, own.expansions).groupBy("traversal_depth").count().collect()
+    assert got == {r[0]: r[1] for r in want}

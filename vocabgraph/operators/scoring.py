@@ -52,14 +52,17 @@ def rank_paths(profiled: DataFrame) -> DataFrame:
     return profiled.withColumn("rank_no", F.row_number().over(Window.partitionBy("pair_id").orderBy(path_rank(), "path_no")))
 
 
-def explain(tables: VocabularyTables, paths: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
+def explain(tables: VocabularyTables, paths: DataFrame, expansions: DataFrame | None = None, turns: DataFrame | None = None) -> DataFrame:
     """(pair_id, path_no, step_no, subject, predicate, object, traversal_depth, kind, reason).
 
     ``expansions``: (pair_id, side, depth, node). traversal_depth is the depth at which the search from the source opened the step's subject,
-    and so met this edge; null if only the search from the target did, or without ``expansions``.
+    and so met this edge; null if only the search from the target did, or with neither ``expansions`` nor ``turns``. ``turns``: (pair_id, turn)
+    says the same of shortest paths, whose first ``turn`` steps the search from the source opened.
     """
     steps = paths.select("pair_id", "path_no", F.posexplode("steps").alias("pos", "step")).select("pair_id", "path_no", (F.col("pos") + 1).alias("step_no"), "step.subject", "step.predicate", "step.object")
-    if expansions is None:
+    if turns is not None:
+        steps = steps.join(turns, "pair_id", "left").withColumn("traversal_depth", F.when(F.col("step_no") <= F.col("turn"), F.col("step_no") - 1))
+    elif expansions is None:
         steps = steps.withColumn("traversal_depth", F.lit(None).cast("int"))
     else:
         seen = expansions.where("side = 'forward'").select("pair_id", F.col("node").alias("subject"), F.col("depth").alias("traversal_depth"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .edges import EdgeFilter
-from .paths import STEP, shortest_paths
+from .paths import BACK, OUT, STEP, shortest_paths
 
 LEVELS = 3
 MAX_REACH = 100_000
@@ -19,10 +20,12 @@ IDS = "array<bigint>"
 
 @dataclass(frozen=True)
 class SharedPaths:
-    """summary: (pair_id, hops, reason); paths(): (pair_id, path_no, hops, steps), written; both as ``shortest_paths`` has them."""
+    """summary: (pair_id, hops, reason); paths(): (pair_id, path_no, hops, steps), written; both as ``shortest_paths`` has them. turns():
+    (pair_id, turn), written: how many steps its search from the source makes until the searches of a pair with a path meet."""
 
     summary: DataFrame
     paths: Callable[[], DataFrame]
+    turns: Callable[[], DataFrame]
 
 
 def shared_shortest_paths(edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilter | None = None, max_depth: int = 6, max_paths: int = 20) -> SharedPaths:
@@ -34,13 +37,16 @@ def shared_shortest_paths(edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilte
     steps begin or end at one node (hubs), or paths may be longer than two legs, each pair searches on its own as before.
     """
     scratch = Scratch(edges.sparkSession, "shared")
-    links = edges.where((rule or EdgeFilter()).condition()).select(F.col("subject_id").alias("s"), F.col("predicate_id").alias("p"), F.col("object_id").alias("o")).dropna().where("s <> o").distinct()
-    links = scratch.cut(links, "links")
+    links = edges.where((rule or EdgeFilter()).condition()).select(F.col("subject_id").alias("s"), F.col("predicate_id").alias("p"), F.col("object_id").alias("o")).dropna().distinct()
+    every = scratch.cut(links, "links")
+    links = every.where("s <> o")
     out = links.select(F.col("s").alias("a"), F.col("o").alias("b")).distinct()
     back = out.select(F.col("b").alias("a"), F.col("a").alias("b"))
     if max_depth > 2 * LEVELS or max(_most_walks(out), _most_walks(back)) > MAX_REACH:
         found = shortest_paths(edges, pairs, rule=rule, max_depth=max_depth, max_paths=max_paths)
-        return SharedPaths(found.summary, lambda: scratch.cut(found.paths, "paths"))
+        opened = found.expansions.where(F.col("side") == OUT).groupBy("pair_id").agg((F.max("depth") + 1).alias("turn"))
+        opened = found.summary.where("hops > 0").select("pair_id").join(opened, "pair_id", "left").select("pair_id", F.coalesce("turn", F.lit(0)).alias("turn"))
+        return SharedPaths(found.summary, lambda: scratch.cut(found.paths, "paths"), lambda: scratch.cut(opened, "turns"))
     asked = scratch.cut(pairs.select("pair_id", "source", "target").dropna().dropDuplicates(["pair_id"]), "pairs")
     known = scratch.cut(_lengths(asked.where("source <> target").select(F.col("source").alias("s"), F.col("target").alias("t")).distinct(), out, back, scratch).where(F.col("n") <= max_depth), "known")
     same = F.col("source") == F.col("target")
@@ -56,7 +62,11 @@ def shared_shortest_paths(edges: DataFrame, pairs: DataFrame, *, rule: EdgeFilte
         still = asked.where(same).select("pair_id", F.lit(1).alias("path_no"), F.lit(0).alias("hops"), F.array().cast(f"array<{STEP}>").alias("steps"))
         return scratch.cut(every.unionByName(still), "paths")
 
-    return SharedPaths(summary, paths)
+    def turns() -> DataFrame:
+        found = _turns(known.select("s", "t", "n"), every.select("s", "o").distinct(), scratch).toDF("source", "target", "turn")
+        return scratch.cut(asked.join(found, ["source", "target"]).select("pair_id", "turn"), "turns")
+
+    return SharedPaths(summary, paths, turns)
 
 
 def _most_walks(hops: DataFrame) -> int:
@@ -98,6 +108,42 @@ def _lengths(pairs: DataFrame, out: DataFrame, back: DataFrame, scratch: Scratch
     return settled.unionByName(far)
 
 
+def _turns(known: DataFrame, hops: DataFrame, scratch: Scratch) -> DataFrame:
+    """(s, t, turn) of the pairs ``known`` (s, t, n): the steps that ``shortest_paths`` makes from s, its rule followed along ``hops`` (s, o).
+
+    In a round every pair needs how many links leave the nodes at one depth of either search; that is worked out once for each node and depth
+    some pair comes to.
+    """
+    ways = hops.select(F.lit(OUT).alias("side"), F.col("s").alias("node"), F.col("o").alias("next")).unionByName(hops.select(F.lit(BACK).alias("side"), F.col("o").alias("node"), F.col("s").alias("next")))
+    ways = scratch.cut(ways, "ways")
+    fan = scratch.cut(ways.groupBy("side", "node").agg(F.count(F.lit(1)).alias("fan")), "fan")
+    state = known.select("s", "t", "n", F.lit(0).alias("ahead"), F.lit(0).alias("behind"))
+    key = ["side", "origin", "depth"]
+    total, left, done = 0, 1, []
+    while left:
+        total += 1
+        end = lambda side, origin, depth: F.struct(F.lit(side).alias("side"), F.col(origin).alias("origin"), F.col(depth).alias("depth"))
+        need = state.select(F.explode(F.array(end(OUT, "s", "ahead"), end(BACK, "t", "behind"))).alias("x")).select("x.*").distinct()
+        if total == 1:
+            spheres = new = scratch.cut(need.withColumn("node", F.col("origin")), "sphere")
+        else:
+            # a pair comes to a depth by the one before, so all nearer nodes of an origin are known
+            near = spheres.select("side", "origin", (F.col("depth") + 1).alias("depth"), "node")
+            new = need.join(weights, key, "left_anti").join(near, key).join(ways, ["side", "node"]).select(*key, F.col("next").alias("node")).distinct()
+            new = scratch.cut(new.join(spheres, ["side", "origin", "node"], "left_anti").select(*key, "node"), "sphere")
+            spheres = spheres.unionByName(new)
+        weight = scratch.cut(new.join(fan, ["side", "node"], "left").groupBy(*key).agg(F.coalesce(F.sum("fan"), F.lit(0)).alias("w")), "weights")
+        weights = weight if total == 1 else weights.unionByName(weight)
+        side = lambda side, *names: weights.where(F.col("side") == side).select("origin", "depth", "w").toDF(*names)
+        both = state.join(side(OUT, "s", "ahead", "_out"), ["s", "ahead"]).join(side(BACK, "t", "behind", "_back"), ["t", "behind"])
+        moves = F.col("_out") <= F.col("_back")
+        moved = both.select("s", "t", "n", (F.col("ahead") + moves.cast("int")).alias("ahead"), (F.col("behind") + (~moves).cast("int")).alias("behind"))
+        moved, seen = scratch.measured(moved, f"moved-{total}", left=F.coalesce(F.sum((F.col("n") > total).cast("int")), F.lit(0)))
+        done.append(moved.where(F.col("n") == total).select("s", "t", F.col("ahead").alias("turn")))
+        state, left = moved.where(F.col("n") > total), seen["left"]
+    return reduce(DataFrame.unionByName, done)
+
+
 def _ways(known: DataFrame, links: DataFrame, max_paths: int, scratch: Scratch) -> DataFrame:
     """(source, target, hops, ways) of the pairs ``known``: the first ``max_paths`` paths by the order of their steps."""
     far = known.where(F.col("n") > LEVELS).select("s", "t", "n", F.explode("mids").alias("mid"))

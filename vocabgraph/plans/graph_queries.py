@@ -15,7 +15,7 @@ from ..operators import labels as L
 from ..operators import lookup as K
 from ..operators import phenotype as P
 from ..operators.grounding import GroundingConstraints, ground_terms as ground
-from ..operators.paths import ShortestPaths, path_text, shortest_paths as search
+from ..operators.paths import path_text, shortest_paths as search
 from ..operators.shared import SharedPaths, shared_shortest_paths
 from ..operators.resolvers import ExactLabelResolver, ExactSynonymResolver, PartialLabelResolver, ResolverConfidence, ResolverPipeline
 from ..operators.scoring import COUNTERS, explain, path_profile as profile, rank_paths, ranked_paths_with_explanations
@@ -253,14 +253,8 @@ def _stated_pairs(t: VocabularyTables) -> DataFrame:
 UPWARD = E.EdgeFilter(kinds=(ONTOLOGICAL,), within_domain=False)
 
 
-def _upward(spark, sf_dir) -> tuple[VocabularyTables, ShortestPaths]:
-    """Over the hierarchy in both directions and across domains; pairs may have several paths. Each pair with its own search."""
-    t = _tables(spark, sf_dir)
-    return t, search(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=MAX_PATHS)
-
-
 def _upward_shared(spark, sf_dir, max_paths: int = MAX_PATHS) -> tuple[VocabularyTables, SharedPaths]:
-    """The same paths by shared searches."""
+    """Over the hierarchy in both directions and across domains, by shared searches; pairs may have several paths."""
     t = _tables(spark, sf_dir)
     return t, shared_shortest_paths(E.enriched_edges(t), _stated_pairs(t), rule=UPWARD, max_depth=PAIR_DEPTH, max_paths=max_paths)
 
@@ -302,8 +296,8 @@ def path_explain(spark, sf_dir):
 
 def path_explain_depth(spark, sf_dir):
     """How many steps the search from the source explains, by depth; it depends on how the two searches share the work."""
-    t, found = _upward(spark, sf_dir)
-    return explain(t, found.paths, found.expansions).groupBy(F.col("traversal_depth").cast("long").alias("traversal_depth")).agg(F.count(F.lit(1)).alias("n_steps"))
+    t, found = _upward_shared(spark, sf_dir)
+    return explain(t, found.paths(), turns=found.turns()).groupBy(F.col("traversal_depth").cast("long").alias("traversal_depth")).agg(F.count(F.lit(1)).alias("n_steps"))
 
 
 def ranked_paths(spark, sf_dir):
