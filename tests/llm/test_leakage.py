@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from vocabgraph.llm import leakage
 from vocabgraph.llm.leakage import Item, Passages, Rules, align, chained, drop_leaks, find_leaks, page_tokens, reading_order
 
 rng = random.Random(9)
@@ -156,3 +157,24 @@ def test_chains_of_many_hits():
         hits = {(own.randrange(30), own.randrange(60)) for _ in range(own.randrange(1, 40))}
         for least in range(3, 30, 3):
             assert bool(chained(list(hits), 3, least)) == plainly(hits, 3, least)
+
+
+def test_pages_are_aligned_together(monkeypatch):
+    own = random.Random(71)
+    texts = {i: prose(own.randrange(21, 120), 1000 + i) for i in range(6)}
+    pages = []
+    for d in range(40):
+        part = []
+        for i in own.sample(range(6), own.randrange(4)):
+            a = own.randrange(len(texts[i]) - 20)
+            part += misread(texts[i][a : a + own.randrange(15, 60)], 0.04, d) + prose(own.randrange(30), 2000 + d)
+        pages.append((d, "\n".join(lines(prose(20, 3000 + d) + part)), None, list(texts)))
+    passages = Passages([(i, " ".join(ws)) for i, ws in texts.items()], Rules())
+    alone = [(i, d, *case) for d, text, _, items in pages for i, *case in passages.verify(text, None, items)]
+    fills, settle = [], leakage.settle
+    monkeypatch.setattr(leakage, "settle", lambda sheets, rules: fills.append(len(sheets)) or settle(sheets, rules))
+    for held, least in ((leakage.TOGETHER, 20), (80_000, 4)):
+        fills.clear()
+        monkeypatch.setattr(leakage, "TOGETHER", held)
+        assert sorted(passages.verify_all(pages)) == sorted(alone) and len(alone) > 20
+        assert max(fills) >= least and (len(fills) > 1) == (held < 2_000_000)  # page by page there are no more than three

@@ -7,7 +7,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ LETTER_GROUPS = ["eco0anupd(", "iltrjfsvy15!|", "hbk68", "gq9"]
 
 AROUND = 16
 MAX_ITEM_WORDS = 400_000  # words of all passages that may be broadcast as n-grams: some 140 MB in each Python worker
+TOGETHER = 2_000_000  # cells that are aligned together, counted by whole pages; a byte each
 
 
 _TABLE = {ord(c): g[0] for g in LETTER_GROUPS for c in g}
@@ -149,99 +150,165 @@ def align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rule
     one of ``rules.run`` or more passage words, from a read word to a read word, of which the share ``rules.clear`` is read. With
     ``hits`` (passage place, page place) only their neighbourhood is looked at.
     """
-    return _align(item, tokens, line, pos, rules or Rules(), hits)[:3]
-
-
-def _align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rules: Rules, hits: list[tuple[int, int]] | None) -> tuple[int, int, list[int], np.ndarray]:
-    """``align``, and which tokens of the page the stretches take up."""
-    m = len(item.words)
-    nothing = 0, 0, [], np.zeros(len(tokens), bool)
-    if not len(tokens) or not m:
-        return nothing
-    lengths = np.bincount(line)
-    low_row, high_row = (max(0, min(k for k, _ in hits) - AROUND), min(m, max(k for k, _ in hits) + AROUND)) if hits else (0, m)
-    at = _around([j for _, j in hits], len(tokens)) if hits else np.arange(len(tokens))  # -1: between two neighbourhoods
-    n, outside = len(at), at < 0
-    ends = (pos >= lengths[line] - 2)[at] & ~outside
-    starts = (pos <= 1)[at] & ~outside
-    equal: dict[int, list[int]] = defaultdict(list)
-    halves: dict[int, list[int]] = defaultdict(list)  # passage word i is tokens j-1 and j
-    glued: dict[int, list[int]] = defaultdict(list)  # passage words i-1 and i are token j
-    known: dict[str, list[int]] = {}
-    last = ""
-    for j, a in enumerate(at.tolist()):
-        t = tokens[a] if a >= 0 else ""
-        if t:
-            own = known.get(t)
-            if own is None:
-                own = known[t] = sorted(set().union(*(item.near[x] for x in _near(t) if x in item.near)))
-            for i in own:
-                equal[i].append(j)
-            if last and (joined := last + t) in item.near:
-                for i in item.near[joined]:
-                    halves[i].append(j)
-            if (i := item.pairs.get(t)) is not None:
-                glued[i + 1].append(j)
-        last = t
-    # two bits a token, so that two glued words come one after the other
-    places = {i: sum(1 << 2 * j + 1 for j in set(equal.get(i, ())).union(halves.get(i, ()), glued.get(i, ()))) | sum(1 << 2 * j for j in glued.get(i + 1, ())) for i in range(low_row, high_row)}
-    if not in_order(list(places.values()), 2 * n, rules):
-        return nothing
-    gap = 2.5
-    low = -1e9
-    # each state is two arrays (score, which of the last 64 passage words are read) with two cells before the first token
-    blank = (np.full(n + 2, low), np.zeros(n + 2, np.uint64))
-    prev = prev2 = blank
-    index = np.arange(n)
-    moves: dict[int, np.ndarray] = {}
-    jumps: dict[int, np.ndarray] = {}
+    rules = rules or Rules()
+    sheet = Sheet.of(item, tokens, line, pos, rules, hits)
+    return settle([sheet], rules)[0][:3] if sheet else (0, 0, [])
+
+
+@dataclass(frozen=True)
+class Sheet:
+    """The cells of one alignment: a row per passage word, a column per token of the page."""
+
+    rows: int
+    at: np.ndarray  # token of each column; -1: between two neighbourhoods
+    ends: np.ndarray
+    starts: np.ndarray
+    equal: tuple[list[int], list[int]]  # rows and columns
+    halves: tuple[list[int], list[int]]  # the row's word is this token and the one before
+    glued: tuple[list[int], list[int]]  # the row's word and the one before are this token
+    line: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rules: Rules, hits: list[tuple[int, int]] | None) -> Sheet | None:
+        """None if no stretch can make a case."""
+        m = len(item.words)
+        if not len(tokens) or not m:
+            return None
+        lengths = np.bincount(line)
+        low, high = (max(0, min(k for k, _ in hits) - AROUND), min(m, max(k for k, _ in hits) + AROUND)) if hits else (0, m)
+        at = _around([j for _, j in hits], len(tokens)) if hits else np.arange(len(tokens))
+        equal, halves, glued = ([], []), ([], []), ([], [])
+        # two bits a token, so that two glued words come one after the other
+        places = [0] * (high - low)
+        known: dict[str, list[int]] = {}
+        near, pairs = item.near, item.pairs
+        last = ""
+        for j, a in enumerate(at.tolist()):
+            t = tokens[a] if a >= 0 else ""
+            if t:
+                own = known.get(t)
+                if own is None:
+                    own = known[t] = [i - low for i in set().union(*(near[x] for x in _near(t) if x in near)) if low <= i < high]
+                for i in own:
+                    equal[0].append(i)
+                    equal[1].append(j)
+                    places[i] |= 2 << 2 * j
+                if last and (joined := last + t) in near:
+                    for i in near[joined]:
+                        if low <= i < high:
+                            halves[0].append(i - low)
+                            halves[1].append(j)
+                            places[i - low] |= 2 << 2 * j
+                if (i := pairs.get(t)) is not None:
+                    if low <= i + 1 < high:
+                        glued[0].append(i + 1 - low)
+                        glued[1].append(j)
+                        places[i + 1 - low] |= 2 << 2 * j
+                    if low <= i < high:
+                        places[i - low] |= 1 << 2 * j
+            last = t
+        if not in_order(places, 2 * len(at), rules):
+            return None
+        outside = at < 0
+        return cls(high - low, at, (pos >= lengths[line] - 2)[at] & ~outside, (pos <= 1)[at] & ~outside, equal, halves, glued, line, lengths)
+
+
+_LOW = -(1 << 29)
+_BACK = np.array([0, 1, 2, 0])  # columns back to where a cell comes from, by how it is reached
+
+
+def settle(sheets: list[Sheet], rules: Rules) -> list[tuple[int, int, list[int], np.ndarray]]:
+    """``align`` for each sheet, and which tokens of its page the stretches take up.
+
+    Sheets lie side by side, those with most rows first and two empty columns before each, and are filled together row by row: a row takes
+    the same array operations however many sheets it has. Scores are doubled and so whole.
+    """
+    order = sorted(range(len(sheets)), key=lambda k: -sheets[k].rows)
+    own = [sheets[k] for k in order]
+    bounds = np.cumsum([0, *(len(s.at) + 2 for s in own)])
+    gap = np.array([-1, -1])
+    at = np.concatenate([x for s in own for x in (gap, s.at)])
+    sheet_of = np.repeat(np.arange(len(own)), np.diff(bounds))
+    ends, starts = (np.concatenate([x for s in own for x in (gap < -1, getattr(s, side))]) for side in ("ends", "starts"))
+    outside = np.flatnonzero(at < 0)
+    n_rows = own[0].rows
+    heights = np.array([s.rows for s in own])
+    widths = [int(bounds[np.searchsorted(-heights, -r, "left")]) for r in range(n_rows)]  # of the sheets that have this row
+
+    def by_row(kind: str) -> list[np.ndarray]:
+        rows = np.concatenate([np.array(getattr(s, kind)[0], np.int64) for s in own])
+        columns = np.concatenate([np.array(getattr(s, kind)[1], np.int64) + (b + 2) for s, b in zip(own, bounds)])
+        by = np.argsort(rows, kind="stable")
+        return np.split(columns[by], np.searchsorted(rows[by], np.arange(1, n_rows)))
+
+    one_bit = np.uint64(1)
     least = np.uint64(1 << (rules.run - 1) if rules.run <= 40 else 1)
-    met: list[tuple[np.ndarray, ...]] = []  # (passage word, token, score, words read) of cells that may end a stretch
-    for i in range(low_row, high_row):
-        e = np.zeros(n, bool)
-        e[equal.get(i, [])] = True
-        hit = e.astype(np.uint64)
-        state = (np.full(n + 2, low), np.zeros(n + 2, np.uint64))
-        score, read = (x[2:] for x in state)
-        move = np.zeros(n, np.int8)
-        score[e] = 1.0
-        read[:] = hit
-
-        def offer(source, k, gain, words, bits, code):
-            cut = slice(2 - k, n + 2 - k)
-            s = source[0][cut] + gain
-            better = s > score
+    # score of each cell of a row, and which of the last 64 passage words are read; what the latter says of a cell without a score is left open
+    prev = prev2 = np.full(len(at), _LOW, np.int32)
+    read = read2 = np.zeros(len(at), np.uint64)
+    live = np.zeros(0, np.int64)
+    moves: list[bytes] = []
+    jumps: dict[tuple[int, int], int] = {}
+    met: list[tuple[np.ndarray, ...]] = []  # (passage word, column, score, words read) of cells that may end a stretch
+    for r, (w, equal, halves, glued) in enumerate(zip(widths, by_row("equal"), by_row("halves"), by_row("glued"))):
+        one, two, none = prev[1 : w - 1], prev[: w - 2] - 2, prev[2:w]  # the next token, one after a stray token, a word that isn't there
+        step = np.maximum(one, two)
+        score = np.full(w, _LOW, np.int32)
+        np.maximum(step, none, out=score[2:])
+        score[2:] -= 4
+        e = equal - 2
+        here = step[e]
+        ahead, missed = np.maximum(here, 0) + 2, none[e] - 4
+        score[equal] = np.maximum(ahead, missed)
+        score[outside[: np.searchsorted(outside, w)]] = _LOW
+        changed: list[tuple[np.ndarray, int, np.ndarray]] = []
+
+        def offer(cells, source, scores, gain, bits, words, new, code):
+            s = scores[source] + gain
+            better = (s > score[cells]) & (s > 0)
             if better.any():
-                np.copyto(score, s, where=better)
-                np.copyto(read, (source[1][cut] << np.uint64(words)) | bits, where=better)
-                move[better] = code
-
-        step = np.where(e, 1.0, -2.0)
-        offer(prev, 1, step, 1, hit, _NEXT)
-        offer(prev, 2, step - 1.0, 1, hit, _STRAY)  # a stray token between
-        offer(prev, 0, -2.0, 1, np.uint64(0), _MISSING)  # a word that isn't there
-        for places, source, k, gain, words, bits, code in ((halves.get(i), prev, 2, 1.0, 1, 1, _HALVES), (glued.get(i), prev2, 1, 2.0, 2, 3, _GLUED)):
-            if places:
-                own = np.full(n, low)
-                own[places] = gain
-                offer(source, k, own, words, np.uint64(bits), code)
-        enter = starts & e
-        if enter.any():  # over lines that don't belong: from a line end to any later line start
-            leave = np.where(ends, prev[0][2:], low)
-            top = np.maximum.accumulate(leave)
-            where_top = np.maximum.accumulate(np.where(leave >= top, index, 0))
-            source = (np.concatenate([blank[0][:2], top]), np.concatenate([blank[1][:2], prev[1][2:][where_top]]))
-            offer(source, 2, np.where(enter, 1.0 - gap, low), 1, np.uint64(1), _ENTER)
-            jumps[i] = np.concatenate([[0, 0], where_top]).astype(np.int32)
-        score[(score <= 0) | outside] = low
-        move[e] |= _READ
-        moves[i] = move
-        cells = np.flatnonzero((score > 0) & (read >= least) & ((read & np.uint64(1)) == 1))
-        if len(cells):
-            met.append((np.full(len(cells), i), cells, score[cells], read[cells]))
-        prev2, prev = prev, state
+                cells, source = cells[better], source[better]
+                score[cells] = s[better]
+                changed.append((cells, code, bits[source] << np.uint64(words) | np.uint64(new)))
+                if code == _ENTER:
+                    jumps.update(zip(((r, c) for c in cells.tolist()), source.tolist()))
+
+        if len(halves):
+            offer(halves, halves - 2, prev, 2, read, 1, 1, _HALVES)
+        if len(glued):
+            offer(glued, glued - 1, prev2, 4, read2, 2, 3, _GLUED)
+        enter = equal[starts[equal]]
+        if len(enter) and len(leave := live[ends[live]]):  # over lines that don't belong: from a line end to any later line start
+            value = prev[leave] + (sheet_of[leave] << 32)
+            top = np.maximum.accumulate(value)
+            where_top = np.maximum.accumulate(np.where(value >= top, np.arange(len(leave)), 0))
+            x = np.searchsorted(leave, enter - 2, "right") - 1
+            same = (x >= 0) & (sheet_of[leave[x]] == sheet_of[enter])
+            offer(enter[same], leave[where_top[x[same]]], prev, -3, read, 1, 1, _ENTER)
+        live = np.flatnonzero(score > 0)
+        c = live - 2
+        move = np.zeros(w, np.int8)
+        move[live] = np.where(none[c] > step[c], _MISSING, np.where(two[c] > one[c], _STRAY, _NEXT))
+        code = np.where(missed > ahead, _MISSING, np.where(here <= 0, 0, np.where(two[e] > one[e], _STRAY, _NEXT)))
+        move[equal] = code
+        now = np.zeros(w, np.uint64)
+        now[live] = read[live - _BACK[move[live]]] << one_bit
+        now[equal] = np.where(code == 0, one_bit, now[equal] | (code != _MISSING))
+        move[equal] |= _READ
+        for cells, how, bits in changed:
+            move[cells] = how
+            now[cells] = bits
+        words = now[live]
+        if len(found := np.flatnonzero((words >= least) & ((words & one_bit) == 1))):
+            cells = live[found]
+            met.append((np.full(len(cells), r), cells, score[cells], words[found]))
+        moves.append(move.tobytes())
+        score[score <= 0] = _LOW
+        prev2, read2, prev, read = prev, read, score, now
+    out = [(0, 0, [], np.zeros(len(s.line), bool)) for s in sheets]
     if not met:
-        return nothing
+        return out
     rows, cells, scores, reads = (np.concatenate(x) for x in zip(*met))
     if rules.run <= 40:  # a longer stretch holds one of up to 64 words; beyond, every path is followed
         good = np.zeros(len(rows), bool)
@@ -249,12 +316,22 @@ def _align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rul
             window = reads & np.uint64((1 << k) - 1)
             good |= (np.bitwise_count(window) >= rules.clear * k) & (window >> np.uint64(k - 1) == 1)
         rows, cells, scores = rows[good], cells[good], scores[good]
-    best, used = (0, 0, 0), np.zeros(len(tokens), bool)
+    by = np.lexsort((-scores, sheet_of[cells]))
+    rows, cells = rows[by], cells[by]
+    for k, own_rows, own_cells in zip(order, *(np.split(x, np.searchsorted(sheet_of[cells], np.arange(1, len(own)))) for x in (rows, cells))):
+        if len(own_rows):
+            out[k] = _judged(sheets[k], moves, jumps, at, zip(own_rows.tolist(), own_cells.tolist()), rules)
+    return out
+
+
+def _judged(sheet: Sheet, moves: list[bytes], jumps: dict[tuple[int, int], int], at: np.ndarray, ends: Iterator[tuple[int, int]], rules: Rules) -> tuple[int, int, list[int], np.ndarray]:
+    """What ``settle`` gives for a sheet of which the runs that end at ``ends`` are to be judged, those with the highest scores first."""
+    best, used = (0, 0, 0), np.zeros(len(sheet.line), bool)
     visited: set[tuple[int, int]] = set()
-    for x in np.argsort(-scores, kind="stable").tolist():
-        if (int(rows[x]), int(cells[x])) in visited:
+    for end in ends:
+        if end in visited:
             continue
-        path = _path(moves, jumps, int(rows[x]), int(cells[x]), visited)
+        path = _path(moves, jumps, *end, visited)
         new = at[[j for _, js in path for j in js]]
         if sum(p[0] for p in path) <= best[0] and (~used[new]).sum() < rules.clear * rules.run:
             continue  # neither better nor anywhere else
@@ -266,7 +343,7 @@ def _align(item: Item, tokens: list[str], line: np.ndarray, pos: np.ndarray, rul
                 best = worth
             if (~used[own]).sum() >= rules.clear * rules.run:  # not the stretch before by another way
                 used[own] = True
-    share = np.bincount(line[used], minlength=len(lengths)) / np.maximum(lengths, 1)
+    share = np.bincount(sheet.line[used], minlength=len(sheet.lengths)) / np.maximum(sheet.lengths, 1)
     return best[1], best[2], np.flatnonzero(share >= 0.5).tolist(), used
 
 
@@ -281,12 +358,12 @@ def _around(places: list[int], n: int) -> np.ndarray:
     return np.insert(kept, np.repeat(breaks, 2), -1)
 
 
-def _path(moves: dict[int, np.ndarray], jumps: dict[int, np.ndarray], i: int, j: int, visited: set[tuple[int, int]]) -> list[tuple[bool, tuple[int, ...]]]:
-    """(read, tokens) per passage word of the run that ends at word ``i`` and token ``j``."""
+def _path(moves: list[bytes], jumps: dict[tuple[int, int], int], i: int, j: int, visited: set[tuple[int, int]]) -> list[tuple[bool, tuple[int, ...]]]:
+    """(read, columns) per passage word of the run that ends at row ``i`` and column ``j``."""
     out: list[tuple[bool, tuple[int, ...]]] = []
     while True:
         visited.add((i, j))
-        code = int(moves[i][j])
+        code = moves[i][j]
         read, code = bool(code & _READ), code & ~_READ
         if code == _MISSING:
             out.append((False, ()))
@@ -299,7 +376,7 @@ def _path(moves: dict[int, np.ndarray], jumps: dict[int, np.ndarray], i: int, j:
             i, j = i - 2, j - 1
         elif code == _ENTER:
             out.append((True, (j,)))
-            i, j = i - 1, int(jumps[i][j])
+            i, j = i - 1, jumps[i, j]
         else:
             out.append((read, (j,)))
             if not code:
@@ -439,32 +516,52 @@ class Passages:
 
     def verify(self, text: str, boxes: list[tuple | None] | None, items: list[int]) -> list[tuple[int, int, int, list[int]]]:
         """(item, run, words read, line numbers) of the cases among ``items``."""
-        lines = text.split("\n")
-        order = reading_order(lines, boxes)
-        tokens, line, pos = page_tokens([lines[i] for i in order])
-        rules = self.rules
+        return [(i, *case) for i, _, *case in self.verify_all([(None, text, boxes, items)])]
+
+    def verify_all(self, pages: Iterable[tuple]) -> Iterator[tuple]:
+        """(item, key, run, words read, line numbers) of the cases on ``pages`` (key, text, boxes, items): many pages are aligned together."""
+        held: list[tuple] = []
+        size = 0
+        for key, text, boxes, items in pages:
+            lines = text.split("\n")
+            order = reading_order(lines, boxes)
+            page = page_tokens([lines[i] for i in order])
+            for i, hits in self._chains(page[0], items):
+                if i not in self._items:
+                    self._items[i] = Item(self.texts[i])
+                sheet = Sheet.of(self._items[i], *page, self.rules, hits)
+                if sheet:
+                    held.append((key, i, order, page, hits, sheet))
+                    size += sheet.rows * (len(page[0]) + len(sheet.at))
+                    if size >= TOGETHER:
+                        yield from self._cases(held)
+                        held, size = [], 0
+        if held:
+            yield from self._cases(held)
+
+    def _chains(self, tokens: list[str], items: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Items whose hits on the page follow the passage, with these hits."""
+        n = self.rules.n
         hits: dict[int, list[tuple[int, int]]] = {i: [] for i in items}
-        for j in range(len(tokens) - rules.n + 1):
-            for i, k in self.grams.get(" ".join(tokens[j : j + rules.n]), ()):
+        for j in range(len(tokens) - n + 1):
+            for i, k in self.grams.get(" ".join(tokens[j : j + n]), ()):
                 if i in hits:
                     hits[i].append((k, j))
-        out = []
         for i, own in hits.items():
-            own = chained(own, rules.n, rules.chain)
-            if not own:
-                continue
-            if i not in self._items:
-                self._items[i] = Item(self.texts[i])
+            if own := chained(own, n, self.rules.chain):
+                yield i, own
+
+    def _cases(self, held: list[tuple]) -> Iterator[tuple]:
+        rules = self.rules
+        for (key, i, order, page, hits, _), (*whole, used) in zip(held, settle([h[-1] for h in held], rules)):
             # all together, as a run may go on over foreign lines; a copy that this leaves out also alone, as a run may leave it for a longer but worse one
-            *whole, used = _align(self._items[i], tokens, line, pos, rules, own)
             cases = [whole]
-            copies = diagonals(own, rules.n, rules.chain)
+            copies = diagonals(hits, rules.n, rules.chain)
             if len(copies) > 1:
-                cases += [align(self._items[i], tokens, line, pos, rules, copy) for copy in copies if not used[[j for _, j in copy]].all()]
+                cases += [align(self._items[i], *page, rules, copy) for copy in copies if not used[[j for _, j in copy]].all()]
             run, seen, _ = max(cases, key=lambda c: (3 * c[1] - 2 * c[0], c[0]))
             if run:
-                out.append((i, run, seen, sorted({order[x] for _, _, at in cases for x in at})))
-        return out
+                yield i, key, run, seen, sorted({order[x] for _, _, at in cases for x in at})
 
 
 _LEAKS = "item_id bigint, doc_id bigint, run int, words_read int, lines array<int>"
@@ -492,17 +589,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
         own = listed if parts == 1 else listed.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast([(r.i, r.p) for r in own.collect()])  # counted above
 
+        def suspects(columns: dict[str, pa.Array], passages: Passages) -> Iterator[tuple]:
+            for k, page in enumerate(columns["t"].to_pylist()):
+                near = passages.candidates(page)
+                if near:
+                    xs = [columns[c][k].as_py() for c in ("x0", "y0", "x1")]
+                    frames = [None if None in b else b for b in zip(*xs)] if None not in xs else None
+                    yield columns["d"][k].as_py(), page, frames, near
+
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             passages = once(shared, lambda own: Passages(own, rules))
             for batch in batches:
-                rows = []
                 columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-                for k, page in enumerate(columns["t"].to_pylist()):
-                    near = passages.candidates(page)
-                    if near:
-                        xs = [columns[c][k].as_py() for c in ("x0", "y0", "x1")]
-                        frames = [None if None in b else b for b in zip(*xs)] if None not in xs else None
-                        rows.extend((i, columns["d"][k].as_py(), run, seen, at) for i, run, seen, at in passages.verify(page, frames, near))
+                rows = list(passages.verify_all(suspects(columns, passages)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[n] for r in rows], kind) for n, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))],
                     ["item_id", "doc_id", "run", "words_read", "lines"],
